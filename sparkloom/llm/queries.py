@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_bpe
+from .quality import op4_quality
 from .sharding import op9_external_shuffle
+from .toxicity import op3_toxicity
 from .warc import op10_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """name -> query over (spark, sf_dir)."""
     return {
+        "op3_toxicity": op3_toxicity,
+        "op4_quality": op4_quality,
         "op7_bpe": op7_bpe,
         "op9_external_shuffle": op9_external_shuffle,
         "op10_warc": op10_warc,
