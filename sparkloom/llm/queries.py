@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_bpe
+from .pii import op5_pii
 from .quality import op4_quality
 from .sharding import op9_external_shuffle
 from .toxicity import op3_toxicity
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_toxicity": op3_toxicity,
         "op4_quality": op4_quality,
+        "op5_pii": op5_pii,
         "op7_bpe": op7_bpe,
         "op9_external_shuffle": op9_external_shuffle,
         "op10_warc": op10_warc,
