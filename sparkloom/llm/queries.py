@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_bpe
+from .decontamination import op2_decontamination
 from .pii import op5_pii
 from .quality import op4_quality
 from .sharding import op9_external_shuffle
@@ -17,6 +18,7 @@ from .warc import op10_warc
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """name -> query over (spark, sf_dir)."""
     return {
+        "op2_decontamination": op2_decontamination,
         "op3_toxicity": op3_toxicity,
         "op4_quality": op4_quality,
         "op5_pii": op5_pii,
