@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_side(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """Mark a narrow table for broadcast if it has no more than `most_rows` rows; else leave the join to be dealt by key."""
+    return broadcast(df) if df.count() <= most_rows else df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write the rows as Parquet to the shared folder, read them back.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_bpe
 from .decontamination import op2_decontamination
+from .minhash import op8_minhash
 from .pii import op5_pii
 from .quality import op4_quality
 from .sharding import op9_external_shuffle
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality": op4_quality,
         "op5_pii": op5_pii,
         "op7_bpe": op7_bpe,
+        "op8_minhash": op8_minhash,
         "op9_external_shuffle": op9_external_shuffle,
         "op10_warc": op10_warc,
     }
