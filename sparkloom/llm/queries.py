@@ -11,6 +11,7 @@ from .decontamination import op2_decontamination
 from .minhash import op8_minhash
 from .pii import op5_pii
 from .quality import op4_quality
+from .repeats import op1_suffix_dedup
 from .sharding import op9_external_shuffle
 from .toxicity import op3_toxicity
 from .warc import op10_warc
@@ -19,6 +20,7 @@ from .warc import op10_warc
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """name -> query over (spark, sf_dir)."""
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_decontamination": op2_decontamination,
         "op3_toxicity": op3_toxicity,
         "op4_quality": op4_quality,
