@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_bpe
 from .decontamination import op2_decontamination
+from .media import op6_chroma
 from .minhash import op8_minhash
 from .pii import op5_pii
 from .quality import op4_quality
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_quality": op4_quality,
         "op5_pii": op5_pii,
+        "op6_chroma": op6_chroma,
         "op7_bpe": op7_bpe,
         "op8_minhash": op8_minhash,
         "op9_external_shuffle": op9_external_shuffle,
