@@ -10,8 +10,10 @@ the digest of the full payload.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,13 +36,15 @@ def plan_records(df: DataFrame, id_col: str, url_col: str, text_col: str, min_by
     ids are pre-aggregated, so a payload that a third of the rows share costs
     one row per task.
     """
+    # Only payloads that several rows share need a decision; as a written table its size is known
+    # to the planner, which broadcasts it if small and else deals both sides by digest.
     rows = df.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"),
         F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("digest", F.sha1("payload"))
-    first = rows.select("id", "digest").groupBy("digest").agg(F.max("id").alias("last_id"))
-    # Left rows stay where they are if the digests fit a broadcast; else both sides are dealt by digest.
+    shared = rows.select("id", "digest").groupBy("digest").agg(F.max("id").alias("last_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    first = written(shared, "warc-shared")
     joined = rows.join(first, "digest", "left")
     revisit = (F.octet_length("payload") >= min_bytes) & (F.col("id") < F.col("last_id"))
     return joined.withColumn("refers_to", F.when(revisit, F.col("last_id")))
@@ -92,19 +96,20 @@ def write_warc(chunks: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = _open(path)
-        name, out, records = f"{folder}/{uuid.uuid4().hex}.warc", None, 0
+        name, out, records = f"{folder}/{uuid.uuid4().hex}.warc.gz", None, 0
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
                     store.create_dir(folder, recursive=True)
-                    out = store.open_output_stream(name)
+                    out = store.open_output_stream(name, compression=None)
                 if row["chunk_no"] == 0:
-                    out.write(_head(row))
+                    member = zlib.compressobj(3, wbits=31)  # a gzip member of its own for each record
+                    out.write(member.compress(_head(row)))
                     records += 1
                 if row["refers_to"] is None:
-                    out.write(row["data"])
+                    out.write(member.compress(row["data"]))
                 if row["chunk_no"] == row["chunks"] - 1:
-                    out.write(b"\r\n\r\n")
+                    out.write(member.compress(b"\r\n\r\n") + member.flush())
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [name], "records": pa.array([records], pa.int64())})
@@ -154,9 +159,9 @@ def read_warc(files: DataFrame, path: str, chunk: int = CHUNK, with_data: bool =
         schema = pa.schema([("file", pa.string()), ("record_no", pa.int64()), ("row_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("stated_length", pa.int64()), ("stated_digest", pa.string()), ("chunk_no", pa.int32()), ("data", pa.binary()), ("bytes_so_far", pa.int64()), ("digest_so_far", pa.string()), ("last", pa.bool_())])
         for batch in batches:
             for name in batch.column("file").to_pylist():
-                with store.open_input_stream(name, buffer_size=1 << 20) as raw:
+                with store.open_input_stream(name, compression=None, buffer_size=1 << 20) as raw:
                     rows, held = [], 0
-                    for number, (head, pieces) in enumerate(_records(_Lines(raw), chunk)):
+                    for number, (head, pieces) in enumerate(_records(gzip.GzipFile(fileobj=raw), chunk)):
                         sha, size, total = hashlib.sha1(), 0, int(head["content-length"])
                         stated = head["warc-payload-digest"].removeprefix("sha1:")
                         for k, data in enumerate(pieces if total else iter([b""])):
@@ -173,30 +178,6 @@ def read_warc(files: DataFrame, path: str, chunk: int = CHUNK, with_data: bool =
     return files.mapInArrow(run, READ)
 
 
-class _Lines:
-    """readline() and read() over a stream that only has read()."""
-
-    def __init__(self, raw):
-        self.raw, self.held, self.at = raw, b"", 0
-
-    def readline(self) -> bytes:
-        while (end := self.held.find(b"\n", self.at)) < 0:
-            more = self.raw.read(1 << 16)
-            self.held, self.at = self.held[self.at :] + more, 0
-            if not more:
-                line, self.held = self.held, b""
-                return line
-        line, self.at = self.held[self.at : end + 1], end + 1
-        return line
-
-    def read(self, n: int) -> bytes:
-        if self.at < len(self.held):
-            data = self.held[self.at : self.at + n]
-            self.at += len(data)
-            return data
-        return self.raw.read(n)
-
-
 def archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """Write a record per row of `df` below `path`; returns the manifest (file, records), written.
 
@@ -215,8 +196,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     pages = table(spark, sf_dir, "pages")
     manifest = archive(pages, path)
-    # Files are few; each becomes a task of its own.
-    files = manifest.repartitionByRange(F.col("file"))
+    # A number of partitions that is given is not coalesced: each file becomes a task of its own.
+    files = manifest.repartitionByRange(max(1, manifest.count()), "file")
     ends = read_warc(files, path, with_data=False).filter("last")
     own = F.col("record_type") == "response"
     return ends.select(
