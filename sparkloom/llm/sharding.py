@@ -22,7 +22,7 @@ def text_bytes(text: Column) -> Column:
 
 
 def shuffled_buckets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, bucket_bytes: int = 16 << 20) -> DataFrame:
-    """Both passes; returns (id, text, size, bucket, place in the bucket) as written.
+    """Both passes; returns (id, text, size, text_crc32, bucket, place in the bucket) as written.
 
     The number of buckets follows the bytes of the input, so that a bucket
     stays near `bucket_bytes` at any scale.  Nulls are kept: a null id is
@@ -38,7 +38,8 @@ def shuffled_buckets(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scattered = rows.withColumn("key", place).withColumn("bucket", F.pmod(F.col("key"), F.lit(buckets)).cast("int"))
     gathered = scattered.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("key", "id", "size", "text"))).alias("all"))
     mixed = gathered.select("bucket", F.posexplode(F.shuffle("all", F.lit(seed))).alias("place", "r"))
-    return written(mixed.select("r.id", "r.text", "r.size", "bucket", F.col("place").cast("long").alias("place")), "shuffle")
+    crc = F.crc32(F.coalesce(F.col("r.text"), F.lit(""))).alias("text_crc32")
+    return written(mixed.select("r.id", "r.text", "r.size", crc, "bucket", F.col("place").cast("long").alias("place")), "shuffle")
 
 
 def assign_shards(buckets: DataFrame, shards: int) -> DataFrame:
@@ -66,7 +67,7 @@ def op9_external_shuffle(spark, sf_dir: str) -> DataFrame:
     return placed.select(
         F.col("id").alias("doc_id"),
         F.col("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"),
+        "text_crc32",
         F.lit("rows").alias("law"),
         "shard",
         "slot",
