@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational, scalars
+from . import aggregates, collections, relational, scalars, sql_surface, windows
 
-MODULES = (relational, scalars)
+MODULES = (relational, scalars, aggregates, windows, collections, sql_surface)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
