@@ -91,7 +91,7 @@ def correlations(df: DataFrame) -> DataFrame:
 def exact_quantiles(df: DataFrame, column: str, probabilities: list[float]) -> DataFrame:
     """(p, value): interpolated quantiles.  Exact, so its state grows with the distinct values; see approxQuantile for sketches."""
     one = df.agg(F.percentile(column, probabilities).alias("v"))
-    return one.select(F.inline(F.arrays_zip(F.array(*map(F.lit, probabilities)).alias("p"), F.col("v").alias("value"))))
+    return one.select(F.inline(F.array(*[F.struct(F.lit(p).alias("p"), F.get("v", F.lit(k)).alias("value")) for k, p in enumerate(probabilities)])))
 
 
 def frequent(df: DataFrame, column: str, support: float) -> DataFrame:

@@ -32,8 +32,8 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 
 def once(events: DataFrame, key: str = "event_id", late: str = "10 minutes") -> DataFrame:
-    """Each key's first event within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+    """Each key's event once: within the watermark for a stream, in all for a table."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
 def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
