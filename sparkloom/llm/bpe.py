@@ -14,6 +14,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 _NONE = 1 << 62
+_WIDE = 1 << 24
 
 
 def byte_symbols() -> list[str]:
@@ -48,21 +50,30 @@ def _known_letters(pattern: str) -> str:
 class _Pieces(dict):
     """piece -> (ids, tokens), each joined by a space; emptied when it grows too large."""
 
-    LIMIT = 200_000
+    LIMIT = 500_000
 
     def __init__(self, bpe: SegmentTreeBPE):
         super().__init__()
         self.bpe = bpe
 
     def __missing__(self, word: str) -> tuple[str, str]:
-        ids = self.bpe.encode_word(word)
-        found = " ".join(map(str, ids)), " ".join([self.bpe.tokens[i] for i in ids])
+        found = self.bpe.said(self.bpe.encode_word(word))
         if len(word) <= 64:
-            if len(self) >= self.LIMIT:
-                self.clear()
             self[word] = found
         return found
 
+    def learn(self, texts: list[list[str]]) -> None:
+        """Encode the new pieces of a batch together."""
+        met = set().union(*texts)
+        new = met - self.keys()
+        if len(self) + len(new) > self.LIMIT:
+            self.clear()
+            new = met
+        short = [w for w in new if len(w) <= 64]
+        many = self.bpe.encode_words(short) if len(short) > 300 else map(self.bpe.encode_word, short)
+        for word, ids in zip(short, many):
+            self[word] = self.bpe.said(ids)
+
 
 class SegmentTreeBPE:
     """Encoder and decoder for a tokenizers JSON file of a word-end byte-level BPE.
@@ -94,7 +105,13 @@ class SegmentTreeBPE:
         self.symbols = byte_symbols()
         ids = self.vocab
         self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(model["merges"])}
+        self.names = {i: str(i) for i in self.tokens}
         self.cache = _Pieces(self)
+        # The same vocabulary and merges as arrays; pairs are sorted for the search.
+        self.plain = np.array([ids.get(c, -1) for c in self.symbols], np.int64)
+        self.last = np.array([ids.get(c + self.end, -1) for c in self.symbols], np.int64)
+        pairs = sorted((a * _WIDE + b, rank, to) for (a, b), (rank, to) in self.merges.items())
+        self.pairs, self.ranks, self.merged = np.array([*pairs, (_NONE, _NONE >> 8, 0)], np.int64).T.copy()
 
     def __reduce__(self):
         return SegmentTreeBPE, (self.spec,)
@@ -154,26 +171,113 @@ class SegmentTreeBPE:
             i = following[i]
         return out
 
-    def _parts(self, text: str) -> list[tuple[str, str]]:
-        """Ids and tokens of each piece of a whole text."""
-        runs = self.special_at.split(text) if self.special_at else [text]
-        out: list[tuple[str, str]] = []
-        for k, run in enumerate(runs):
-            if k % 2:
-                out.append((str(self.special[run]), run))
-            elif run:
-                # Each character is lowered by itself, so a final sigma is like any other.
-                plain = self.blank.sub(self.blank_to, unicodedata.normalize("NFC", run)).replace("Σ", "σ").lower()
-                old = not plain or max(plain) < self.later_from
-                out += map(self.cache.__getitem__, (self.pieces if old else self.exact_pieces).findall(plain))
+    def _find(self, found: np.ndarray) -> np.ndarray:
+        """Place of each pair in the merges, or the last place for none."""
+        at = np.searchsorted(self.pairs, found)
+        return np.where(self.pairs[at] == found, at, len(self.pairs) - 1)
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Token ids of many pieces at once, a tree for each in the rows of one array."""
+        out: list[list[int]] = [[]] * len(words)
+        data = [w.encode("utf-8", "replace") for w in words]
+        sizes = np.array([len(d) for d in data], np.int64)
+        for wide in (8, 16, 32, 64, 128, 256):
+            some = np.flatnonzero((sizes <= wide) & (sizes > (0 if wide == 8 else wide // 2)))
+            for at in range(0, len(some), 1 << 15):
+                rows = some[at : at + (1 << 15)]
+                for k, ids in zip(rows.tolist(), self._trees([data[k] for k in rows.tolist()], sizes[rows], wide)):
+                    out[k] = ids
+        return out
+
+    def _trees(self, data: list[bytes], sizes: np.ndarray, wide: int) -> list[list[int]]:
+        n = len(data)
+        flat = np.frombuffer(b"".join(data), np.uint8)
+        inside = np.arange(wide) < sizes[:, None]
+        ids = np.full((n, wide), -1, np.int64)
+        ids[inside] = self.plain[flat]
+        row = np.arange(n)
+        ids[row, sizes - 1] = self.last[flat[np.cumsum(sizes) - 1]]
+        if (ids[inside] < 0).any():  # a vocabulary that lacks bytes
+            return [self.encode_word(d.decode("utf-8")) for d in data]
+        following = np.tile(np.arange(1, wide + 1, dtype=np.int64), (n, 1))
+        previous = following - 2
+        tree = np.full((n, 2 * wide), _NONE, np.int64)
+        pair = inside[:, 1:]
+        ranks = self.ranks[self._find(ids[:, :-1][pair] * _WIDE + ids[:, 1:][pair])]
+        leaves = tree[:, wide : 2 * wide - 1]
+        leaves[pair] = np.where(ranks < _NONE >> 8, ranks * wide + np.nonzero(pair)[1], _NONE)
+        level = wide
+        while level > 1:
+            half = level // 2
+            np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2], out=tree[:, half:level])
+            level = half
+
+        def put(r: np.ndarray, leaf: np.ndarray, value) -> None:
+            node = leaf + wide
+            tree[r, node] = value
+            while node[0] > 1:
+                node = node >> 1
+                tree[r, node] = np.minimum(tree[r, 2 * node], tree[r, 2 * node + 1])
+
+        def rank(r: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Value of the leaf i of each row, whose pair is (i, j); j may lie past the end."""
+            ok = j < sizes[r]
+            found = self._find(np.where(ok, ids[r, i] * _WIDE + ids[r, np.minimum(j, wide - 1)], -1))
+            value = self.ranks[found]
+            return np.where(value < _NONE >> 8, value * wide + i, _NONE)
+
+        live = row[tree[:, 1] != _NONE]
+        while len(live):
+            i = tree[live, 1] % wide
+            j = following[live, i]
+            ids[live, i] = self.merged[self._find(ids[live, i] * _WIDE + ids[live, j])]
+            after = following[live, j]
+            following[live, i] = after
+            there = after < sizes[live]
+            previous[live[there], after[there]] = i[there]
+            ids[live, j] = -1
+            put(live, j, _NONE)
+            put(live, i, rank(live, i, after))
+            before = previous[live, i]
+            has = before >= 0
+            if has.any():
+                r, b = live[has], before[has]
+                put(r, b, rank(r, b, i[has]))
+            live = live[tree[live, 1] != _NONE]
+        return [[t for t in own if t >= 0] for own in ids.tolist()]
+
+    def said(self, ids: list[int]) -> tuple[str, str]:
+        """Ids and tokens, each joined by a space."""
+        return " ".join([self.names[i] for i in ids]), " ".join([self.tokens[i] for i in ids])
+
+    def _pieces(self, text: str) -> list[str]:
+        """Pieces of a text without special tokens."""
+        # Each character is lowered by itself, so a final sigma is like any other.
+        plain = self.blank.sub(self.blank_to, unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
+        old = not plain or max(plain) < self.later_from
+        return (self.pieces if old else self.exact_pieces).findall(plain)
+
+    def joined_batch(self, texts: list[str | None]) -> list[tuple[str, str]]:
+        """For each whole text its decimal ids joined by a space, and the text that they decode to."""
+        runs = [self.special_at.split(t or "") if self.special_at else [t or ""] for t in texts]
+        pieces = [[self._pieces(r) for r in own[::2]] for own in runs]
+        self.cache.learn([p for own in pieces for p in own])
+        out = []
+        for own, split in zip(runs, pieces):
+            parts: list[tuple[str, str]] = []
+            for k, found in enumerate(split):
+                if k:
+                    special = own[2 * k - 1]
+                    parts.append((str(self.special[special]), special))
+                parts += map(self.cache.__getitem__, found)
+            if ("", "") in parts:
+                parts = [p for p in parts if p[0]]
+            out.append((" ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])))
         return out
 
     def joined(self, text: str | None) -> tuple[str, str]:
-        """Decimal ids joined by a space, and the text that they decode to."""
-        parts = self._parts(text or "")
-        if ("", "") in parts:
-            parts = [p for p in parts if p[0]]
-        return " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+        """joined_batch() of one text."""
+        return self.joined_batch([text])[0]
 
     def encode(self, text: str | None) -> list[int]:
         """Token ids of a whole text; none for null or an empty text."""
@@ -217,11 +321,11 @@ def encode_documents(df: DataFrame, path: str | None = None, id_col: str = "doc_
         bpe = _encoder(spec.value)
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "replace")).hexdigest()
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                ids, decoded = bpe.joined(text)
-                row = (ids.count(" ") + 1 if ids else 0, sha(ids), sha(decoded))
-                rows.append((*row, [int(i) for i in ids.split()], decoded) if with_ids else row)
+            rows, texts = [], batch["text"].tolist()
+            for at in range(0, len(texts), 500):
+                for ids, decoded in bpe.joined_batch(texts[at : at + 500]):
+                    row = (ids.count(" ") + 1 if ids else 0, sha(ids), sha(decoded))
+                    rows.append((*row, [int(i) for i in ids.split()], decoded) if with_ids else row)
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 5 if with_ids else 3])
             out.insert(0, "doc_id", batch["doc_id"].array)
             yield out
