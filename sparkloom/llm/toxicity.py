@@ -218,16 +218,40 @@ def learn(labelled: DataFrame) -> ToxicityModel:
     words = {r["term"]: r for r in sure if not r["stem"]}
     forms = Counter(r["term"][:k] for r in pure if not r["stem"] for k in STEM if len(r["term"]) > k)
     stems: dict[str, float] = {}
-    for r in sorted((r for r in sure if r["stem"] and forms[r["term"]] >= 4 and r["toxic"] >= 49 * r["clean"]), key=lambda r: len(r["term"])):
-        if not any(r["term"][:k] in stems for k in STEM):
-            stems[r["term"]] = chance(r)
+    pure_stems = {r["term"]: r for r in sure if r["stem"] and r["toxic"] >= 49 * r["clean"]}
+    for r in sorted((r for t, r in pure_stems.items() if forms[t] >= 4), key=lambda r: len(r["term"])):
+        if any(r["term"][:k] in stems for k in STEM):
+            continue
+        # The longest form that nearly all of the stem's documents have is the surest.
+        longer = [x for t, x in pure_stems.items() if t.startswith(r["term"]) and x["toxic"] >= 0.98 * r["toxic"]]
+        best = max(longer, key=lambda x: len(x["term"]))
+        stems[best["term"]] = chance(best)
     terms = {t: (p, errors_allowed(t, True), True) for t, p in stems.items()}
     terms |= {t: (chance(r), errors_allowed(t, False), False) for t, r in words.items() if t not in terms and not any(t[:k] in stems for k in STEM)}
-    # Misspellings: words of the sample that only match with errors, and how their documents are labelled.
+    # Copies of one toxic document share all its words: terms must also stand in enough different places.
     shared = rows.sparkSession.sparkContext.broadcast(terms)
 
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, met = shared.value, set()
+        for batch in batches:
+            for text, label in zip(batch["text"], batch["label"]):
+                found = ["", *_WORD.findall(text.lower()), ""]
+                for before, w, after in zip(found, found[1:], found[2:]):
+                    term = w if w in own else next((w[:k] for k in STEM if w[:k] in own and own[w[:k]][2]), None)
+                    if term:
+                        met.add((term, before, after, label > 0))
+        if met:
+            yield pd.DataFrame(list(met), columns=["term", "before", "after", "toxic"])
+
+    kinds = rows.mapInPandas(places, "term string, before string, after string, toxic boolean").distinct()
+    by_place = kinds.groupBy("term").agg(F.count_if("toxic").alias("toxic"), F.count_if(~F.col("toxic")).alias("clean")).collect()
+    stands = {r["term"] for r in by_place if r["toxic"] >= 9 * r["clean"] and _tail(r["toxic"], r["toxic"] + r["clean"], rate) + math.log(tested) < math.log(0.01)}
+    terms = {t: x for t, x in terms.items() if t in stands}
+    # Misspellings: words of the sample that only match with errors, and how their documents are labelled.
+    lexicon = rows.sparkSession.sparkContext.broadcast(terms)
+
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = LexiconAutomaton(shared.value)
+        automaton = LexiconAutomaton(lexicon.value)
         for batch in batches:
             hit = [automaton.match(t) for t in batch["term"]]
             yield batch[[bool(h and h[0]) for h in hit]]
