@@ -9,7 +9,11 @@ from .common import Registry, read
 
 QUERIES = Registry()
 query = QUERIES.query
-BY_CUSTOMER = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+
+
+def _by_customer():
+    """A customer's orders by date; made when a session is there."""
+    return Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
 
 
 @query("""SELECT o_orderkey, cast(row_number() OVER w AS int) AS rn, cast(rank() OVER v AS int) AS rk, cast(dense_rank() OVER v AS int) AS dr, round(percent_rank() OVER v, 6) AS pr, round(cume_dist() OVER v, 6) AS cd, cast(ntile(3) OVER w AS int) AS nt
@@ -17,7 +21,7 @@ BY_CUSTOMER = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey
 def window_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranking functions, with ties in the second window."""
     ties = Window.partitionBy("o_custkey").orderBy("o_orderpriority")
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(BY_CUSTOMER).alias("rn"), F.rank().over(ties).alias("rk"), F.dense_rank().over(ties).alias("dr"), F.round(F.percent_rank().over(ties), 6).alias("pr"), F.round(F.cume_dist().over(ties), 6).alias("cd"), F.ntile(3).over(BY_CUSTOMER).alias("nt"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(_by_customer()).alias("rn"), F.rank().over(ties).alias("rk"), F.dense_rank().over(ties).alias("dr"), F.round(F.percent_rank().over(ties), 6).alias("pr"), F.round(F.cume_dist().over(ties), 6).alias("cd"), F.ntile(3).over(_by_customer()).alias("nt"))
 
 
 @query("""SELECT o_orderkey, lag(o_orderkey) OVER w AS lg, lag(o_orderkey, 2, -1) OVER w AS lg2, lead(o_orderkey) OVER w AS ld, lead(o_orderkey, 1, 0) OVER w AS ld0,
@@ -25,7 +29,7 @@ def window_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
 def window_analytic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours, first, last and nth values."""
-    w, all_ = BY_CUSTOMER, BY_CUSTOMER.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w, all_ = _by_customer(), _by_customer().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     k = "o_orderkey"
     return read(spark, sf_dir, "orders").select(k, F.lag(k).over(w).alias("lg"), F.lag(k, 2, -1).over(w).alias("lg2"), F.lead(k).over(w).alias("ld"), F.lead(k, 1, 0).over(w).alias("ld0"), F.first(k).over(w).alias("fv"), F.last(k).over(all_).alias("lv"), F.nth_value(k, 2).over(w).alias("nv"))
 
@@ -34,7 +38,7 @@ def window_analytic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def window_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running aggregates."""
     p = "o_totalprice"
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.round(F.sum(p).over(BY_CUSTOMER), 2).alias("s"), F.count(F.lit(1)).over(BY_CUSTOMER).alias("n"), F.round(F.avg(p).over(BY_CUSTOMER), 4).alias("a"), F.min(p).over(BY_CUSTOMER).alias("lo"), F.max(p).over(BY_CUSTOMER).alias("hi"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.round(F.sum(p).over(_by_customer()), 2).alias("s"), F.count(F.lit(1)).over(_by_customer()).alias("n"), F.round(F.avg(p).over(_by_customer()), 4).alias("a"), F.min(p).over(_by_customer()).alias("lo"), F.max(p).over(_by_customer()).alias("hi"))
 
 
 @query("""SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS n, cast(sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS bigint) AS s FROM orders""")
@@ -48,7 +52,7 @@ def window_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS ahead, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 500 PRECEDING AND 500 FOLLOWING) AS near FROM orders""")
 def window_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ROWS frames to both sides and a RANGE frame."""
-    w = BY_CUSTOMER
+    w = _by_customer()
     near = Window.partitionBy("o_custkey").orderBy("o_orderkey").rangeBetween(-500, 500)
     p = "o_totalprice"
     return read(spark, sf_dir, "orders").select("o_orderkey", F.round(F.avg(p).over(w.rowsBetween(-2, 0)), 4).alias("back"), F.max(p).over(w.rowsBetween(-1, 3)).alias("around"), F.count(F.lit(1)).over(w.rowsBetween(1, 2)).alias("ahead"), F.count(F.lit(1)).over(near).alias("near"))
