@@ -214,3 +214,27 @@ def test_entry_imports_without_a_session():
     repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=repo, check=True, timeout=120)
+
+
+def test_inspection_and_statistics(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    assert df.dtypes[0] == ("l_orderkey", "bigint") and df.schema["l_tax"].dataType.simpleString() == "double"
+    assert len(df.inputFiles()) == 1 and df.sameSemantics(df.select("*")) and not df.isEmpty()
+    assert abs(df.stat.corr("l_quantity", "l_extendedprice")) <= 1 and df.stat.cov("l_quantity", "l_quantity") > 0
+    low, high = df.approxQuantile("l_quantity", [0.1, 0.9], 0.01)
+    assert low < high
+    assert df.select("l_linenumber").freqItems(["l_linenumber"], 0.1).count() == 1
+    assert {r.summary for r in df.select("l_tax").summary().collect()} == {"count", "mean", "stddev", "min", "25%", "50%", "75%", "max"}
+    few = df.orderBy("l_orderkey", "l_linenumber")
+    assert few.head(2) == few.take(2) and len(few.limit(5).toJSON().collect() if hasattr(few, "toJSON") else []) == 5 and len(few.limit(9).tail(3)) == 3
+    kept = df.select("l_orderkey").checkpoint()
+    assert kept.count() == df.cache().count() and df.unpersist() is not None
+
+
+def test_errors_are_raised(spark):
+    with pytest.raises(Exception, match="wrong"):
+        spark.range(1).select(F.raise_error(F.lit("wrong"))).collect()
+    with pytest.raises(Exception, match="not so"):
+        spark.range(1).select(F.assert_true(F.lit(False), "not so")).collect()
+    with pytest.raises(Exception, match="UNRESOLVED_COLUMN"):
+        spark.range(1).filter("missing > 1").collect()
