@@ -103,7 +103,7 @@ def _emit_slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if len(part) >= LENGTH:
                     held.append((t1, t2, a, part))
                     size += len(part)
-                if size > 4 << 20:
+                if size > 1 << 20:
                     yield flush(held)
                     held, size = [], 0
         if held:
@@ -141,9 +141,7 @@ def refine(data: np.ndarray, windows: np.ndarray, length: int = LENGTH) -> np.nd
         number = np.cumsum(new) - 1
         # Numbers of settled positions stay apart: each bucket is named by its first member's place.
         names = place[new][number].astype(np.uint64)
-        fresh = bucket.copy()
-        fresh[place] = names
-        bucket = fresh
+        bucket[place] = names
         depth += step
         if depth < length:
             counts = np.bincount(number)
