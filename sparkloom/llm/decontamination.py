@@ -83,7 +83,8 @@ class Matcher:
         for i, (_, own) in enumerate(items):
             h = self._hash(own)
             for start, length in pieces(len(own), budget(len(own), share)):
-                self.by_length[length][int(self._windows(h[start : start + length], length)[0])].append((i, start))
+                *_, (_, key) = self._growing(h[start : start + length], length)
+                self.by_length[length][int(key[0])].append((i, start))
         self.sorted = {n: np.array(sorted(found), np.uint64) for n, found in self.by_length.items()}
 
     @staticmethod
@@ -95,13 +96,12 @@ class Matcher:
         return np.fromiter(map(known.__getitem__, own), np.uint64, len(own))
 
     @staticmethod
-    def _windows(h: np.ndarray, length: int) -> np.ndarray:
-        """Hash of every run of `length` words, by a polynomial that is the same wherever the run starts."""
-        n = len(h) - length + 1
-        acc = np.zeros(max(0, n), np.uint64)
-        for k in range(length if n > 0 else 0):
-            acc = mix64(acc * _MUL + h[k : k + n])
-        return acc
+    def _growing(h: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(length, hash of every run of that many words) for 1 to `most`; each is the one before and a word more."""
+        acc = np.zeros(len(h), np.uint64)
+        for k in range(min(most, len(h))):
+            acc = mix64(acc[: len(h) - k] * _MUL + h[k:])
+            yield k + 1, acc
 
     def find(self, text: str | None, known: dict[str, int]) -> list[tuple[int, int, int, int]]:
         """(item, distance, first word, end) of every item within its budget somewhere in a whole text."""
@@ -110,9 +110,8 @@ class Matcher:
             known.clear()
         h = self._hash(own, known)
         looks: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for length, keys in self.sorted.items():
-            w = self._windows(h, length)
-            if not len(w):
+        for length, w in self._growing(h, max(self.sorted, default=0)):
+            if (keys := self.sorted.get(length)) is None:
                 continue
             spot = np.searchsorted(keys, w)
             spot[spot == len(keys)] = 0
