@@ -288,11 +288,6 @@ class SegmentTreeBPE:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(spec: str) -> SegmentTreeBPE:
-    return SegmentTreeBPE(spec)
-
-
 def tokenizer_spec(path: str | None = None) -> str:
     """The tokenizer file's JSON, read on the driver (about 2 MB, refused above 64 MB)."""
     if path is None:
@@ -313,12 +308,13 @@ def encode_documents(df: DataFrame, path: str | None = None, id_col: str = "doc_
     ids array<int> and decoded string.  Null and empty texts have no tokens.
     Nothing is shuffled; other columns of the input don't take part.
     """
-    spec = df.sparkSession.sparkContext.broadcast(tokenizer_spec(path))
+    # The encoder and its cache live in a worker as long as the broadcast, and no longer.
+    shared = df.sparkSession.sparkContext.broadcast(SegmentTreeBPE(tokenizer_spec(path)))
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = _encoder(spec.value)
+        bpe = shared.value
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "replace")).hexdigest()
         for batch in batches:
             rows, texts = [], batch["text"].tolist()
