@@ -18,6 +18,16 @@ from .toxicity import op3_toxicity
 from .warc import op10_warc
 
 
+#: Base32 of a SHA-1: each five hex digits of it are four of base32.
+WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+    d AS (SELECT page_id, octet_length(encode(t)) AS payload_bytes, sha1(t) AS hex FROM p),
+    b AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), 'string_agg', '') AS payload_digest FROM d),
+    m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last_id FROM b)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < last_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id < last_id THEN last_id END AS refers_to FROM m"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """name -> query over (spark, sf_dir)."""
     return {
@@ -36,4 +46,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """name -> DuckDB SQL with the same rows, for the queries that SQL can express."""
-    return {}
+    return {"op10_warc": WARC}

@@ -418,3 +418,15 @@ def test_warc_round_trip(spark, monkeypatch, tmp_path, chunk):
         if r.record_type == "response":
             assert bodies[key] == (pages[i] or "").encode() and r.digest_so_far == sha(pages[i])
     assert warc.archive(df.limit(0), f"{path}2").count() == 0
+
+
+def test_warc_matches_sql(spark, sf_dir):
+    import duckdb
+
+    from sparkloom.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{sf_dir}/pages.parquet')")
+    got = warc.op10_warc(spark, sf_dir)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.WARC})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
