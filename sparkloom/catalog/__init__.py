@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregates, collections, relational, scalars, session_info, sql_surface, windows
+from . import aggregates, collections, relational, scalars, session_info, sql_surface, udfs, windows
 
-MODULES = (relational, scalars, aggregates, windows, collections, sql_surface, session_info)
+MODULES = (relational, scalars, aggregates, windows, collections, sql_surface, session_info, udfs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
