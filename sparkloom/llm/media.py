@@ -3,9 +3,9 @@
 A recording (WAV bytes) becomes frames of energy per pitch class.  Sixteen
 filters, each a difference of sums over rectangles of that image, taken from
 its integral image, are quantised to two bits; a frame is the packed 32-bit
-integer.  Recordings that share runs of two integers are aligned by the
-histogram of their offsets, and the share of differing bits at the most common
-offset decides.
+integer.  The recordings asked for are compared with all classes of equal
+fingerprints, in blocks: correlations of the bits give the differing bits of
+each pair at every offset, and the offset of the least share of them decides.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .common import table, written
 SIZE, HOP, SPAN = 1024, 256, 16  # samples of a frame, step between frames, frames that a fingerprint covers
 LOW_HZ, HIGH_HZ = 100.0, 1900.0
 MOST_ERRORS, LEAST_FRAMES = 0.2, 8
+BLOCK_FRAMES = 20_000  # frames of a block of recordings, unless one alone has more
+TILE = 1 << 20  # numbers of a block's correlations held at a time
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -110,17 +112,88 @@ def fingerprints(df: DataFrame, id_col: str, audio_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(audio_col).alias("audio")).mapInPandas(run, f"id {kind}, frames array<int>")
 
 
+def _spectra(rows: list[np.ndarray], size: int) -> np.ndarray:
+    """(frequency, recording, bit): spectra of the bits as -1 and 1, with zeros after the end."""
+    out = np.zeros((len(rows), size, 32), np.float32 if size <= 4096 else np.float64)
+    for k, r in enumerate(rows):
+        out[k, : len(r)] = np.unpackbits(np.ascontiguousarray(r).view(np.uint8)).reshape(len(r), 32) * 2.0 - 1
+    return np.fft.rfft(out, axis=1).transpose(1, 0, 2)
+
+
+def best_offsets(queries: list[np.ndarray], classes: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, float]]:
+    """(query, class, offset, votes, bit_errors) of every pair with an offset within MOST_ERRORS.
+
+    All offsets with LEAST_FRAMES in common are compared.  The one of the least
+    bit_errors is given, of equal ones that with most frames in common, then
+    the nearest to 0.  votes counts equal neighbouring pairs of integers there.
+    """
+    # Longest first, so that the first of a tile bounds what the others take.
+    order_q, order_r = (np.argsort([-len(x) for x in side], kind="stable") for side in (queries, classes))
+    a = 0
+    while a < len(order_r):
+        longest = len(classes[order_r[a]])
+        own = order_r[a : a + max(1, min(128, TILE // (64 * longest)))]
+        a += len(own)
+        b, held, at_size = 0, None, 0
+        while b < len(order_q):
+            full = longest + len(queries[order_q[b]]) - 1
+            full += -full % 16
+            mine = order_q[b : b + max(1, min(128, TILE // (full * max(32, len(own)))))]
+            b += len(mine)
+            n, m = np.array([len(queries[i]) for i in mine]), np.array([len(classes[i]) for i in own])
+            if full != at_size:
+                held, at_size = _spectra([classes[i] for i in own], full).conj().transpose(0, 2, 1), full
+            agree = np.fft.irfft(_spectra([queries[i] for i in mine], full) @ held, full, axis=0)
+            offset = np.arange(LEAST_FRAMES - m.max(), n.max() - LEAST_FRAMES + 1)
+            offset = offset[np.argsort(np.abs(offset), kind="stable")]
+            agree = agree[offset]  # negative ones count from the end
+            # Of n and m the lengths that occur, mostly one, decide what two recordings have in common.
+            ns, ms = (x[:1] if (x == x[0]).all() else x for x in (n, m))
+            o = offset[:, None, None]
+            common = np.minimum(ns[:, None] - np.maximum(o, 0), ms - np.maximum(-o, 0))
+            need = np.where(common >= LEAST_FRAMES, (1 - 2 * MOST_ERRORS) * 32 * common - 0.5, np.inf).astype(agree.dtype)
+            for i, j in zip(*np.nonzero((agree >= need).any(0))):
+                c = np.minimum(n[i] - np.maximum(offset, 0), m[j] - np.maximum(-offset, 0))
+                share = np.where(c >= LEAST_FRAMES, (32 * c - np.rint(agree[:, i, j])) / 2 / (32.0 * np.maximum(c, 1)), np.inf)
+                if share.min() > MOST_ERRORS:
+                    continue
+                k = np.where(share == share.min(), c, -1).argmax()
+                x, y = queries[mine[i]][max(offset[k], 0) :][: c[k]], classes[own[j]][max(-offset[k], 0) :][: c[k]]
+                same = x == y
+                yield int(mine[i]), int(own[j]), int(offset[k]), int((same[1:] & same[:-1]).sum()), float(share[k])
+
+
+def _packed(classes: DataFrame, names: tuple[str, str], parts: int) -> DataFrame:
+    """Blocks of recordings: their ids, lengths and frames as bytes."""
+    kind = classes.schema["class_id"].dataType.simpleString()
+    columns = [names[0], f"{names[1]}_sizes", f"{names[1]}_bytes"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            size = batch["frames"].map(len).to_numpy()
+            block = np.cumsum(size) // BLOCK_FRAMES
+            for k in np.unique(block):
+                part = batch[block == k]
+                yield pd.DataFrame([(part["class_id"].tolist(), size[block == k].tolist(), np.concatenate(part["frames"].tolist()).astype("<i4").tobytes())], columns=columns)
+
+    return classes.select("class_id", "frames").repartition(parts, "class_id").mapInPandas(run, f"{columns[0]} array<{kind}>, {columns[1]} array<int>, {columns[2]} binary")
+
+
+def _unpacked(sizes, data: bytes) -> list[np.ndarray]:
+    return np.split(np.frombuffer(data, "<i4"), np.cumsum(sizes)[:-1])
+
+
 def align(prints: DataFrame, is_query) -> DataFrame:
     """(id, class_id, n_frames, matches): one row per recording.
 
     Recordings with equal fingerprints are one class, named by its least id.
     `matches` is null unless is_query (a Column over `id`) holds; then it has
-    each class within MOST_ERRORS at the most common offset with LEAST_FRAMES
-    in common, the query's own class too: (class_id, offset, votes,
-    bit_errors), by class.  Recordings too short for LEAST_FRAMES match
-    nothing.  Candidates are found by equal pairs of neighbouring integers
-    between query classes and all classes, so what is joined grows with the
-    true matches and not with the number of pairs.
+    each class within MOST_ERRORS at some offset with LEAST_FRAMES in common,
+    the query's own class too: (class_id, offset, votes, bit_errors) at the
+    offset of the least bit_errors, by class.  Recordings too short for
+    LEAST_FRAMES match nothing.  Nothing is passed over: every query class is
+    compared with every class at every offset, in blocks, so the time grows
+    with the number of those pairs; what is emitted are the matches.
     """
     named = prints.withColumn("fp", F.md5(F.concat_ws(",", F.transform("frames", lambda x: x.cast("string")))))
     named = written(named, "prints")
@@ -129,22 +202,20 @@ def align(prints: DataFrame, is_query) -> DataFrame:
     frames = named.dropDuplicates(["fp"]).select("fp", "frames")
     classes = written(classes.join(frames, "fp"), "classes").filter("class_id IS NOT NULL")
     long_ = classes.filter(F.size("frames") >= LEAST_FRAMES)
-    pairs = F.transform(F.sequence(F.lit(1), F.size("frames") - 1), lambda i: F.struct(i.alias("at"), F.shiftleft(F.element_at("frames", i).cast("long"), 32).bitwiseXOR(F.element_at("frames", i + 1).cast("long")).alias("key")))
-    entries = long_.select("class_id", "asked", F.explode(pairs).alias("e")).select("class_id", "asked", "e.*")
-    # A key that repeats within a recording votes once for each side, from its first place.
-    entries = entries.groupBy("class_id", "asked", "key").agg(F.min("at").alias("at"))
-    asked = entries.filter("asked").select(F.col("class_id").alias("q"), F.col("at").alias("q_at"), "key")
-    votes = asked.join(entries.drop("asked"), "key").groupBy("q", "class_id", (F.col("q_at") - F.col("at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("q", "class_id").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("b")).select("q", "class_id", "b.offset", "b.votes")
-    mine = long_.filter("asked").select(F.col("class_id").alias("q"), F.col("frames").alias("qf"))
-    both = best.join(mine, "q").join(long_.select("class_id", F.col("frames").alias("rf")), "class_id")
-    low, start = F.greatest(F.col("offset"), F.lit(0)), F.greatest(-F.col("offset"), F.lit(0))
-    length = F.least(F.size("qf") - low, F.size("rf") - start)
-    # bit_count() of a negative int counts its 64-bit form, whose upper half is set too.
-    wide = lambda x: x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
-    errors = F.aggregate(F.zip_with(F.slice("qf", low + 1, F.col("common")), F.slice("rf", start + 1, F.col("common")), lambda a, b: F.bit_count(wide(a.bitwiseXOR(b)))), F.lit(0), lambda a, b: a + b)
-    scored = both.withColumn("common", length).filter(F.col("common") >= LEAST_FRAMES).withColumn("bit_errors", errors / (32.0 * F.col("common")))
-    hits = scored.filter(F.col("bit_errors") <= MOST_ERRORS)
+    total = long_.agg(F.coalesce(F.sum(F.size("frames")), F.lit(0)), F.coalesce(F.sum(F.when(F.col("asked"), F.size("frames"))), F.lit(0))).first()
+    parts = [1 + n // BLOCK_FRAMES for n in total]
+    mine = _packed(long_.filter("asked"), ("q", "q"), parts[1])
+    pairs = mine.crossJoin(_packed(long_, ("class_id", "r"), parts[0]))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                queries, others = _unpacked(row.q_sizes, row.q_bytes), _unpacked(row.r_sizes, row.r_bytes)
+                found = [(row.q[i], row.class_id[j], *rest) for i, j, *rest in best_offsets(queries, others)]
+                yield pd.DataFrame(found, columns=["q", "class_id", "offset", "votes", "bit_errors"])
+
+    kind = long_.schema["class_id"].dataType.simpleString()
+    hits = pairs.mapInPandas(compare, f"q {kind}, class_id {kind}, offset int, votes long, bit_errors double")
     found = hits.groupBy(F.col("q").alias("class_id")).agg(F.sort_array(F.collect_list(F.struct("class_id", "offset", "votes", F.round("bit_errors", 6).alias("bit_errors")))).alias("matches"))
     known = classes.select("fp", "class_id").join(found, "class_id", "left")
     none = F.array().cast("array<struct<class_id:bigint,offset:int,votes:bigint,bit_errors:double>>")

@@ -262,6 +262,41 @@ def test_fingerprints_align_shifted_recordings(spark):
     assert media.read_wav(b"nonsense")[1] == 0 and len(media.fingerprint(None)) == 0
 
 
+def brute_matches(queries, classes):
+    """All pairs and offsets, bit by bit."""
+    out = {}
+    for i, q in queries.items():
+        for j, r in classes.items():
+            for o in range(media.LEAST_FRAMES - len(r), len(q) - media.LEAST_FRAMES + 1):
+                x, y = q[max(o, 0) :], r[max(-o, 0) :]
+                n = min(len(x), len(y))
+                e = int(np.bitwise_count((x[:n] ^ y[:n]).view(np.uint32)).sum()) / (32.0 * n)
+                if n >= media.LEAST_FRAMES and e <= media.MOST_ERRORS:
+                    out[i, j] = min(out.get((i, j), 1), e)
+    return out
+
+
+def print_rows(spark, prints):
+    return spark.createDataFrame([(i, f.tolist()) for i, f in prints.items()], "id long, frames array<int>")
+
+
+def test_noisy_copies_are_found_as_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(media, "BLOCK_FRAMES", 300)
+    rng = np.random.default_rng(11)
+    prints = {}
+    for k in range(25):
+        own = rng.integers(-(2**31), 2**31, int(rng.integers(8, 60))).astype(np.int32)
+        prints[100 * k] = own
+        for step, share in enumerate([0.1, 0.15, 0.2, 0.25]):  # errors spread evenly over the bits
+            flips = np.packbits(rng.random((len(own), 32)) < share, axis=1).view(np.int32).ravel()
+            noisy = own ^ flips
+            prints[100 * k + 1 + step] = np.r_[rng.integers(-(2**31), 2**31, 5 * step).astype(np.int32), noisy[step:]]
+    want = brute_matches({i: f for i, f in prints.items() if i % 100 == 0}, {i: f for i, f in prints.items() if len(f) >= media.LEAST_FRAMES})
+    out = media.align(print_rows(spark, prints), F.col("id") % 100 == 0).filter("matches IS NOT NULL").collect()
+    got = {(r.id, m.class_id): m.bit_errors for r in out for m in r.matches}
+    assert got == pytest.approx(want, abs=1e-6) and len(want) > 75
+
+
 # ---- op7
 def test_bpe_matches_the_library(spark):
     public = pytest.importorskip("public_tokenizers")
