@@ -297,6 +297,17 @@ def test_noisy_copies_are_found_as_by_brute_force(spark, monkeypatch):
     assert got == pytest.approx(want, abs=1e-6) and len(want) > 75
 
 
+def test_excerpts_of_a_second_occurrence_are_found(spark):
+    rng = np.random.default_rng(12)
+    part = lambda n: rng.integers(-(2**31), 2**31, n).astype(np.int32)
+    loop, end = part(30), part(12)
+    prints = {100: np.r_[loop, part(10), loop, end], 101: np.r_[loop, end], 201: np.r_[[7] * 20, part(9)].astype(np.int32)}
+    prints[200] = prints[201][12:]
+    out = media.align(print_rows(spark, prints), F.col("id") % 100 == 0).filter("matches IS NOT NULL").collect()
+    got = {(r.id, m.class_id): (m.offset, m.votes, m.bit_errors) for r in out for m in r.matches}
+    assert got == {(100, 100): (0, 81, 0.0), (100, 101): (40, 41, 0.0), (200, 200): (0, 16, 0.0), (200, 201): (-12, 16, 0.0)}
+
+
 # ---- op7
 def test_bpe_matches_the_library(spark):
     public = pytest.importorskip("public_tokenizers")
