@@ -24,6 +24,8 @@ from .common import table
 _WORD = re.compile(r"[^\W_]+")
 STEM = range(3, 9)  # lengths of stems in characters
 WINDOW = 8  # words on either side of a hit
+EDIT_FACTOR = 0.6  # what a misspelling keeps of its term's weight for each error
+EVIDENCE = 4.0  # documents that this guess counts as: four clean ones and no toxic one bring 0.6 below 0.3
 # Fixed cue words of the context window.
 REPORTING = frozenset("said says called calls quoted quote quotes wrote word words term terms definition means slur dit dijo sagte genannt".split())
 ADDRESS = frozenset("you your youre u ur du dich dein tu te ton toi vous tus eres usted".split())
@@ -126,7 +128,10 @@ def errors_allowed(term: str, stem: bool) -> int:
 
 
 class ToxicityModel:
-    """Lexicon, the weights of misspellings seen in training, and the prior of a document without hits."""
+    """Lexicon, the weights of misspellings seen in training, and the prior of a document without hits.
+
+    Other misspellings have their term's weight times `unseen` for each error.
+    """
 
     def __init__(self, terms: dict[str, tuple[float, int, bool]], variants: dict[str, float], unseen: float, prior: float):
         self.terms, self.variants, self.unseen, self.prior = terms, variants, unseen, prior
@@ -144,7 +149,7 @@ class ToxicityModel:
             found = 0.0
             if hit:
                 errors, term = hit
-                found = self.terms[term][0] if not errors else self.variants.get(word, self.unseen / errors)
+                found = self.terms[term][0] if not errors else self.variants.get(word, self.terms[term][0] * self.unseen**errors)
             if len(self.known) > 300_000:
                 self.known.clear()
             if len(word) < 80:
@@ -254,14 +259,15 @@ def learn(labelled: DataFrame) -> ToxicityModel:
         automaton = LexiconAutomaton(lexicon.value)
         for batch in batches:
             hit = [automaton.match(t) for t in batch["term"]]
-            yield batch[[bool(h and h[0]) for h in hit]]
+            guess = [lexicon.value[h[1]][0] * EDIT_FACTOR ** h[0] if h and h[0] else 0.0 for h in hit]
+            yield batch[["term", "clean", "toxic"]].assign(guess=guess)[[g > 0 for g in guess]]
 
-    close = counts.filter("NOT stem").mapInPandas(near, counts.schema).collect()
+    close = counts.filter("NOT stem AND term <> ''").mapInPandas(near, "term string, clean long, toxic long, guess double").collect()
     counts.unpersist()
-    lift = lambda t, c: max(0.0, ((t + 2 * rate) / (t + c + 2) - rate) / (1 - rate))
-    variants = {r["term"]: p if (p := lift(r["toxic"], r["clean"])) > 0.5 and not r["clean"] else 0.0 for r in close}
-    a, b = sum(r["toxic"] for r in close), sum(r["clean"] for r in close)
-    return ToxicityModel(terms, variants, max(0.05, 0.5 * lift(a, b)), 0.01)
+    # The guess from term and errors is weighed against the documents that have this very word, not against other words.
+    over = lambda r: max(0.0, (r["toxic"] - rate * (r["toxic"] + r["clean"])) / (1 - rate))
+    variants = {r["term"]: (over(r) + EVIDENCE * r["guess"]) / (r["toxic"] + r["clean"] + EVIDENCE) for r in close}
+    return ToxicityModel(terms, variants, EDIT_FACTOR, 0.01)
 
 
 def bounded_sample(documents: DataFrame, labels: DataFrame, label: str, fold: int, held: int, most: int) -> DataFrame:

@@ -157,6 +157,23 @@ def test_stems_and_context():
     assert model.score(None) == model.score("") == pytest.approx(0.01)
 
 
+def planted_labels(rng, toxic, clean):
+    """(text, label): each phrase amid random words."""
+    return [(f"{words(rng, 12)} {t} {words(rng, 12)}", label) for label, own in ((1, toxic), (0, clean)) for t in own]
+
+
+def test_misspellings_weigh_by_their_term(spark):
+    rng = random.Random(12)
+    toxic = ["scoundrel"] * 60 + ["scoundrol"]  # one misspelling met once
+    rows = planted_labels(rng, toxic, [""] * 300 + ["scoundral"] + ["scoundren"] * 25)
+    model = toxicity.learn(spark.createDataFrame(rows, "text string, label int"))
+    score = lambda w: model.score(f"some text with {w} in it")
+    assert score("scoundrel") > 0.9
+    assert all(score(w) >= 0.3 for w in ["scoundre1", "skoundrel", "scoundel", "scoundrol", "scoundral"])
+    assert score("scoundrol") > score("scoundre1") > score("scoundral")
+    assert score("scoundren") < 0.1 and score("scorn") == pytest.approx(0.01)
+
+
 def labelled(spark, sf_dir):
     read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     return read("documents"), read("labels")
