@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,6 +33,35 @@ ADDRESS = frozenset("you your youre u ur du dich dein tu te ton toi vous tus ere
 OPEN, CLOSE = "\"“„«‘", "\"”“»’"
 
 
+_OPEN = re.compile(f"[{OPEN}]")
+
+
+def quoted(before: str, after: str) -> bool:
+    """Whether a quotation opens before a word and closes after it."""
+    return any(before.rfind(a) > before.rfind(b) if a != b else before.count(a) % 2 for a, b in zip(OPEN, CLOSE)) and any(c in after for c in CLOSE)
+
+
+def plain_uses(plain: str) -> tuple[list[str], list[bool]]:
+    """The words of a text in lower case, and whether each is used plainly: neither in quotation nor near a reporting word."""
+    names = _WORD.findall(plain)
+    uses = [True] * len(names)
+    marks = [m.start() for m in _OPEN.finditer(plain)]
+    if marks:
+        found = [m.span() for m in _WORD.finditer(plain)]
+        starts = [a for a, _ in found]
+        # A mark counts for the WINDOW words after it.
+        for i in sorted({k for p in marks for at in [bisect_left(starts, p)] for k in range(at, min(at + WINDOW, len(found)))}):
+            low, high = max(0, i - WINDOW), min(len(found) - 1, i + WINDOW)
+            uses[i] = not quoted(plain[starts[low] : starts[i]], plain[found[i][1] : found[high][1] + 1])
+    if not REPORTING.isdisjoint(names):
+        for i, w in enumerate(names):
+            if w in REPORTING:
+                for k in range(max(0, i - WINDOW), min(len(names), i + WINDOW + 1)):
+                    if k != i:
+                        uses[k] = False
+    return names, uses
+
+
 class LexiconAutomaton:
     """A trie of terms with error budgets, intersected with Levenshtein automata.
 
@@ -178,7 +208,7 @@ class ToxicityModel:
         around = {found[k][0] for k in range(low, high + 1) if k != i}
         before, after = plain[found[low].start() : found[i].start()], plain[found[i].end() : found[high].end() + 1]
         factor = 1.0
-        if any(before.rfind(a) > before.rfind(b) if a != b else before.count(a) % 2 for a, b in zip(OPEN, CLOSE)) and any(c in after for c in CLOSE):
+        if quoted(before, after):
             factor *= 0.4
         if around & REPORTING:
             factor *= 0.6
@@ -195,14 +225,18 @@ def _tail(k: int, n: int, p: float) -> float:
 
 
 def learn(labelled: DataFrame) -> ToxicityModel:
-    """Fit the model on rows (text, label) of a bounded sample; null labels and texts are passed over."""
+    """Fit the model on rows (text, label) of a bounded sample; null labels and texts are passed over.
+
+    Only plain uses of a term count, toxic and clean ones alike: documents that
+    quote or report it don't speak for or against it.
+    """
     rows = labelled.select("text", "label").filter("text IS NOT NULL AND label IS NOT NULL")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[tuple[str, bool], list[int]] = {}
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"]):
-                own = {w for w in _WORD.findall(text.lower()) if len(w) < 80}
+                own = {w for w, plain in zip(*plain_uses(text.lower())) if plain and len(w) < 80}
                 keys = {(w, False) for w in own} | {(w[:k], True) for w in own for k in STEM if len(w) > k} | {("", True)}
                 for key in keys:
                     seen.setdefault(key, [0, 0])[int(label > 0)] += 1
@@ -240,10 +274,10 @@ def learn(labelled: DataFrame) -> ToxicityModel:
         own, met = shared.value, set()
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"]):
-                found = ["", *_WORD.findall(text.lower()), ""]
-                for before, w, after in zip(found, found[1:], found[2:]):
+                names, uses = plain_uses(text.lower())
+                for before, w, after, plain in zip(["", *names], names, [*names[1:], ""], uses):
                     term = w if w in own else next((w[:k] for k in STEM if w[:k] in own and own[w[:k]][2]), None)
-                    if term:
+                    if term and plain:
                         met.add((term, before, after, label > 0))
         if met:
             yield pd.DataFrame(list(met), columns=["term", "before", "after", "toxic"])

@@ -174,6 +174,28 @@ def test_misspellings_weigh_by_their_term(spark):
     assert score("scoundren") < 0.1 and score("scorn") == pytest.approx(0.01)
 
 
+def test_quoting_documents_leave_a_term_in_the_lexicon(spark):
+    rng = random.Random(13)
+    toxic = ["scoundrel"] * 50
+    clean = [""] * 280 + ['he called him a "scoundrel" there'] * 10 + ["“the old scoundrel”"] * 5 + ["the word scoundrel"] * 5 + ["weather"] * 20
+    model = toxicity.learn(spark.createDataFrame(planted_labels(rng, toxic, clean), "text string, label int"))
+    assert set(model.terms) == {"scoundrel"}
+    assert model.score("such a scoundrel as this") > 0.9
+    assert model.score('he called him a "scoundrel" there') < 0.3
+
+
+def test_plain_uses_agree_with_the_context_of_hits():
+    rng = random.Random(14)
+    for _ in range(300):
+        text = "".join(rng.choice(["ab ", "cd ", "said ", "x", '"', "“", "”", "«", "»", ", "]) for _ in range(rng.randrange(60)))
+        found = list(toxicity._WORD.finditer(text))
+        names, uses = toxicity.plain_uses(text)
+        assert names == [m[0] for m in found]
+        for i in range(len(found)):
+            around = {found[k][0] for k in range(max(0, i - 8), min(len(found), i + 9)) if k != i}
+            assert uses[i] == (toxicity.ToxicityModel.context(text, found, i) >= 1.0), (text, i, around)
+
+
 def labelled(spark, sf_dir):
     read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     return read("documents"), read("labels")
