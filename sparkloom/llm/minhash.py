@@ -55,8 +55,15 @@ def sketches(df: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> D
 
 
 def shingle_sets_of(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """(sid, shingles): the full sets of the classes in `wanted` (id, sid), from the text of one document each."""
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small_side(wanted.select("id").distinct()), "id", "left_semi")
+    """(sid, shingles): the full sets of the classes in `wanted` (id, sid), from the text of one document each.
+
+    An id that is null stands for all documents without an id.
+    """
+    own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    ids = wanted.select("id").distinct()
+    texts = own.join(small_side(ids.filter("id IS NOT NULL")), "id", "left_semi")
+    if not ids.filter("id IS NULL").isEmpty():
+        texts = texts.union(own.filter("id IS NULL"))  # not a join by key: all of them would be dealt to one task
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()

@@ -420,6 +420,21 @@ def test_near_duplicates_of_odd_rows(spark):
     assert sorted((str(r.id), str(r.component_id), r.kept) for r in out) == [("5", "5", True), ("5", "5", True), ("None", "5", False), ("None", "None", False)]
 
 
+def test_near_copies_with_null_ids_link(spark):
+    base = [f"w{i}" for i in range(80)]
+    middle = [*base[:72], *(f"x{i}" for i in range(8))]  # near both others, which are less than 0.75 alike
+    far = [*(f"y{i}" for i in range(8)), *middle[8:]]
+    texts = [" ".join(x) for x in (base, middle, far)] + ["wholly other words without any copy at all", "single"]
+    sets = [shingle_strings(t) for t in texts[:3]]
+    like = lambda a, b: len(a & b) / len(a | b)
+    assert like(sets[0], sets[1]) >= 0.75 <= like(sets[1], sets[2]) and like(sets[0], sets[2]) < 0.75
+    out = minhash.near_duplicates(frame(spark, texts, [3, None, 8, None, 9])).collect()
+    got = sorted((str(r.id), str(r.component_id), r.kept) for r in out)
+    assert got == [("3", "3", True), ("8", "3", False), ("9", "9", True), ("None", "3", False), ("None", "None", False)]
+    out = minhash.near_duplicates(frame(spark, texts[:2], [None, None])).collect()
+    assert [(r.component_id, r.kept) for r in out] == [(None, False)] * 2
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 62, 300).astype(np.uint64)
