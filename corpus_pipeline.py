@@ -23,13 +23,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one of the least id; documents without words all stay.
+    """One row of each near-duplicate group, the one of the least id; rows without words or alone in their group all stay.
 
-    A null id is kept by no group; such a row stays only where it has no words.
+    Rows are told apart by a number of their own, as ids may be null or repeat.
+    A null id comes after all others; of equal ids any one row is the one.
     """
-    found = minhash.near_duplicates(docs)
-    gone = written(found.filter("NOT kept AND n_shingles > 0").select(F.col("id").alias("gone_id")).distinct(), "gone")
-    return docs.select(*COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    # The numbers hold only once they are written.
+    rows = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_no")), "rows")
+    found = minhash.near_duplicates(rows, "row_no").filter("n_shingles > 0").select(F.col("id").alias("row_no"), "component_id")
+    named = written(found.join(rows.select("row_no", "doc_id"), "row_no"), "named")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_no"))
+    stay = named.groupBy("component_id").agg(first.alias("first")).select("first.row_no")
+    gone = written(named.select("row_no").join(stay, "row_no", "left_anti"), "gone")
+    return rows.join(gone, "row_no", "left_anti").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,3 +28,16 @@ def test_stages_keep_the_columns_and_clean_documents(spark, tmp_path):
     assert text[4] == ("write to [EMAIL] now", 20) and text[5] == (None, None) and text[2][0] == texts[2]
     out = pipeline.run(spark, str(tmp_path))
     assert out.count() == len(ids[3]) and out.filter(F.col("doc_id") == 6).first().n_tokens == 0
+
+
+def test_near_duplicates_go_by_row_with_null_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    near = lambda k: text(k)[:-1] + "x"
+    rows = [(None, text("a")), (None, text("b")), (None, near("b")), (None, None), (None, ""), (None, text("f")), (8, near("f"))]  # null ids
+    rows += [(5, text("c")), (3, near("c")), (5, text("d")), (6, text("e")), (6, text("e")), (7, None), (7, None)]  # repeated ids
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r.doc_id, r.text) for r in pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    of_b = [x for x in left if x[1] in (text("b"), near("b"))]
+    assert len(of_b) == 1
+    want = [(None, text("a")), (None, None), (None, ""), (8, near("f")), (3, near("c")), (5, text("d")), (6, text("e")), (7, None), (7, None)]
+    assert sorted(map(str, left)) == sorted(map(str, want + of_b))
