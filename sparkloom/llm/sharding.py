@@ -13,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import small_side, table, written
+
+COPIES = 1000  # of a repeated row that one row of a chunk stands for
 
 
 def text_bytes(text: Column) -> Column:
@@ -21,21 +23,33 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+def _keyed(rows: DataFrame, seed: int) -> DataFrame:
+    """Rows with a seeded key of id and text, and of the copy's number where both repeat."""
+    rows = rows.withColumn("key", F.xxhash64(F.lit(seed), "id", "text"))
+    repeated = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "repeated")
+    if repeated.isEmpty():
+        return rows
+    repeated = small_side(repeated)
+    copies = rows.join(repeated, "key", "left_semi").groupBy("id", "text", "size", "key").agg(F.count(F.lit(1)).alias("n"))
+    chunks = copies.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (n - 1) div {COPIES})"))).repartition("key", "chunk")
+    each = chunks.withColumn("copy", F.explode(F.expr(f"sequence(chunk * {COPIES}, least(n, (chunk + 1) * {COPIES}) - 1)")))
+    each = each.select("id", "text", "size", F.xxhash64("key", "copy").alias("key"))
+    return rows.join(repeated, "key", "left_anti").select(each.columns).union(each)
+
+
 def shuffled_buckets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, bucket_bytes: int = 16 << 20) -> DataFrame:
     """Both passes; returns (id, text, size, text_crc32, bucket, place in the bucket) as written.
 
     The number of buckets follows the bytes of the input, so that a bucket
-    stays near `bucket_bytes` at any scale.  Nulls are kept: a null id is
-    placed by its text, a null text counts 8 bytes.  Copies of a text spread
-    by their ids.  Rows equal in id and text are each kept; they share a
-    bucket.  Other columns of the input don't take part.  An empty input
-    gives no rows.
+    stays near `bucket_bytes` at any scale.  Nulls are kept; a null text
+    counts 8 bytes.  Rows are placed by id and text, and rows equal in both
+    are each kept and spread by their number among their equals.  Other
+    columns of the input don't take part.  An empty input gives no rows.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("size", text_bytes(F.col("text")) + F.lit(8))
     total = rows.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    place = F.when(F.col("id").isNotNull(), F.xxhash64(F.lit(seed), "id")).otherwise(F.xxhash64(F.lit(seed), "text"))
-    scattered = rows.withColumn("key", place).withColumn("bucket", F.pmod(F.col("key"), F.lit(buckets)).cast("int"))
+    scattered = _keyed(rows, seed).withColumn("bucket", F.pmod(F.col("key"), F.lit(buckets)).cast("int"))
     gathered = scattered.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("key", "id", "size", "text"))).alias("all"))
     mixed = gathered.select("bucket", F.posexplode(F.shuffle("all", F.lit(seed))).alias("place", "r"))
     crc = F.crc32(F.coalesce(F.col("r.text"), F.lit(""))).alias("text_crc32")

@@ -489,6 +489,17 @@ def test_shards_repeat(spark):
     assert runs[0] == runs[1]
 
 
+def test_repeated_ids_and_rows_spread_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    rows = [(None, "x" * 50)] * 200 + [(1, "y" * 50)] * 100 + [(2, str(i).zfill(50)) for i in range(200)] + [(i, "z" * 50) for i in range(10, 110)]
+    out = sharding.shuffled_buckets(frame(spark, [t for _, t in rows], [i for i, _ in rows]), bucket_bytes=3000).collect()
+    assert collections.Counter((r.id, r.text) for r in out) == collections.Counter(rows)
+    sizes = collections.Counter()
+    for r in out:
+        sizes[r.bucket] += r.size
+    assert max(sizes.values()) < 2 * 3000
+
+
 # ---- op10
 @pytest.mark.parametrize("chunk", [1 << 18, 7])
 def test_warc_round_trip(spark, monkeypatch, tmp_path, chunk):
