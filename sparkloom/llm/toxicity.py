@@ -160,16 +160,18 @@ def errors_allowed(term: str, stem: bool) -> int:
 class ToxicityModel:
     """Lexicon, the weights of misspellings seen in training, and the prior of a document without hits.
 
-    Other misspellings have their term's weight times `unseen` for each error.
+    Other misspellings have their term's weight times `unseen` for each error,
+    divided by the number of ordinary words next to the term, beyond the first.
     """
 
-    def __init__(self, terms: dict[str, tuple[float, int, bool]], variants: dict[str, float], unseen: float, prior: float):
+    def __init__(self, terms: dict[str, tuple[float, int, bool]], variants: dict[str, float], unseen: float, prior: float, crowd: dict[str, int] | None = None):
         self.terms, self.variants, self.unseen, self.prior = terms, variants, unseen, prior
+        self.crowd = crowd or {}
         self.automaton = LexiconAutomaton(terms)
         self.known: dict[str, float] = {}
 
     def __reduce__(self):
-        return ToxicityModel, (self.terms, self.variants, self.unseen, self.prior)
+        return ToxicityModel, (self.terms, self.variants, self.unseen, self.prior, self.crowd)
 
     def weight(self, word: str) -> float:
         """The chance that a word marks a toxic document, 0 for most words."""
@@ -179,7 +181,7 @@ class ToxicityModel:
             found = 0.0
             if hit:
                 errors, term = hit
-                found = self.terms[term][0] if not errors else self.variants.get(word, self.terms[term][0] * self.unseen**errors)
+                found = self.terms[term][0] if not errors else self.variants.get(word, self.terms[term][0] * self.unseen**errors / max(1, self.crowd.get(term, 0) - 1))
             if len(self.known) > 300_000:
                 self.known.clear()
             if len(word) < 80:
@@ -294,14 +296,15 @@ def learn(labelled: DataFrame) -> ToxicityModel:
         for batch in batches:
             hit = [automaton.match(t) for t in batch["term"]]
             guess = [lexicon.value[h[1]][0] * EDIT_FACTOR ** h[0] if h and h[0] else 0.0 for h in hit]
-            yield batch[["term", "clean", "toxic"]].assign(guess=guess)[[g > 0 for g in guess]]
+            yield batch[["term", "clean", "toxic"]].assign(guess=guess, near=[h[1] if h else "" for h in hit])[[g > 0 for g in guess]]
 
-    close = counts.filter("NOT stem AND term <> ''").mapInPandas(near, "term string, clean long, toxic long, guess double").collect()
+    close = counts.filter("NOT stem AND term <> ''").mapInPandas(near, "term string, clean long, toxic long, guess double, near string").collect()
     counts.unpersist()
     # The guess from term and errors is weighed against the documents that have this very word, not against other words.
     over = lambda r: max(0.0, (r["toxic"] - rate * (r["toxic"] + r["clean"])) / (1 - rate))
-    variants = {r["term"]: (over(r) + EVIDENCE * r["guess"]) / (r["toxic"] + r["clean"] + EVIDENCE) for r in close}
-    return ToxicityModel(terms, variants, EDIT_FACTOR, 0.01)
+    crowd = Counter(r["near"] for r in close if r["toxic"] < 9 * r["clean"])
+    weigh = lambda r: (over(r) + EVIDENCE * r["guess"] / max(1, crowd[r["near"]] - 1)) / (r["toxic"] + r["clean"] + EVIDENCE)
+    return ToxicityModel(terms, {r["term"]: weigh(r) for r in close}, EDIT_FACTOR, 0.01, dict(crowd))
 
 
 def bounded_sample(documents: DataFrame, labels: DataFrame, label: str, fold: int, held: int, most: int) -> DataFrame:
