@@ -12,19 +12,33 @@ import functools
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_texts, table
 
 _NONE = 1 << 62
 _WIDE = 1 << 24
 
+# What Unicode added after the version of the library's tables (16 for
+# its split pattern, 17 for its lower case) and newer tables of `regex` know.
+LATER_LETTERS = """0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF
+    10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF
+    18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81
+    1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F
+    2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"""
+LATER_CAPITALS = "A7DD A7E2 AB6C-AB6D 1DF1F-1DFFF"
+
+
+def _char_class(ranges: str) -> str:
+    """The inside of a regex class for code points and ranges in hexadecimal."""
+    return "".join("-".join(rf"\U{int(x, 16):08x}" for x in r.split("-")) for r in ranges.split())
+
+
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
@@ -34,44 +48,36 @@ def byte_symbols() -> list[str]:
 
 
 @functools.cache
-def _later_letters() -> str:
-    """Letters and digits that `regex` knows and Python's older Unicode tables, like the library's, don't."""
-    found = regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])))
-    return "".join(c for c in found if unicodedata.category(c) == "Cn")
-
-
-def _known_letters(pattern: str) -> str:
-    new = "".join(f"\\U{ord(c):08x}" for c in _later_letters())
-    if not new:
-        return pattern
-    return pattern.replace(r"\p{L}", rf"[\p{{L}}--[{new}]]").replace(r"\p{N}", rf"[\p{{N}}--[{new}]]")
+def _later_capitals() -> dict[int, str]:
+    """Lower case of the capitals that Python's Unicode tables are too old to know, by the case pairs of `regex`."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    small, unknown = "".join(regex.findall(r"\p{Ll}", every)), regex.compile(f"[{_char_class(LATER_CAPITALS)}]")
+    pairs = {ord(c): regex.findall(regex.escape(c), small, regex.IGNORECASE) for c in regex.findall(r"\p{Lu}", every) if unicodedata.category(c) == "Cn" and not unknown.match(c)}
+    return {c: found[0] for c, found in pairs.items() if found}
 
 
 class _Pieces(dict):
-    """piece -> (ids, tokens), each joined by a space; emptied when it grows too large."""
+    """piece -> (ids, tokens), each joined by a space; when it grows too large, only the pieces of the batch at hand stay."""
 
-    LIMIT = 500_000
+    LIMIT = 60_000
 
     def __init__(self, bpe: SegmentTreeBPE):
         super().__init__()
         self.bpe = bpe
 
     def __missing__(self, word: str) -> tuple[str, str]:
-        found = self.bpe.said(self.bpe.encode_word(word))
-        if len(word) <= 64:
-            self[word] = found
-        return found
+        return self.bpe.said(self.bpe.encode_word(word))
 
     def learn(self, texts: list[list[str]]) -> None:
         """Encode the new pieces of a batch together."""
-        met = set().union(*texts)
-        new = met - self.keys()
+        met = {w for own in texts for w in own if len(w) <= 64}
+        new = list(met - self.keys())
         if len(self) + len(new) > self.LIMIT:
+            stay = {w: self[w] for w in met & self.keys()}
             self.clear()
-            new = met
-        short = [w for w in new if len(w) <= 64]
-        many = self.bpe.encode_words(short) if len(short) > 300 else map(self.bpe.encode_word, short)
-        for word, ids in zip(short, many):
+            self.update(stay)
+        many = self.bpe.encode_words(new) if len(new) > 300 else map(self.bpe.encode_word, new)
+        for word, ids in zip(new, many):
             self[word] = self.bpe.said(ids)
 
 
@@ -95,8 +101,11 @@ class SegmentTreeBPE:
         split = data["pre_tokenizer"]["pretokenizers"][0]
         self.blank, self.blank_to = regex.compile(replace["pattern"]["Regex"]), replace["content"]
         self.pieces = regex.compile(split["pattern"]["Regex"])
-        self.exact_pieces = regex.compile(_known_letters(split["pattern"]["Regex"]), regex.V1)
-        self.later_from = min(_later_letters(), default=chr(0x10FFFF))
+        # The same pattern for texts with letters that the library does not take for letters.
+        later = _char_class(LATER_LETTERS)
+        self.later_at = regex.compile(f"[{later}]")
+        self.strict_pieces = regex.compile(split["pattern"]["Regex"].replace(r"\p{L}", rf"[\p{{L}}--[{later}]]").replace(r"\p{N}", rf"[\p{{N}}--[{later}]]"), regex.V1)
+        self.later_capitals = _later_capitals()
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {x["content"]: x["id"] for x in data["added_tokens"]}
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -254,8 +263,10 @@ class SegmentTreeBPE:
         """Pieces of a text without special tokens."""
         # Each character is lowered by itself, so a final sigma is like any other.
         plain = self.blank.sub(self.blank_to, unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
-        old = not plain or max(plain) < self.later_from
-        return (self.pieces if old else self.exact_pieces).findall(plain)
+        if not plain.isascii() and max(plain) >= "\u1c89":  # below it Python knows every capital
+            plain = plain.translate(self.later_capitals)
+        known = plain.isascii() or not self.later_at.search(plain)
+        return (self.pieces if known else self.strict_pieces).findall(plain)
 
     def joined_batch(self, texts: list[str | None]) -> list[tuple[str, str]]:
         """For each whole text its decimal ids joined by a space, and the text that they decode to."""
@@ -308,25 +319,25 @@ def encode_documents(df: DataFrame, path: str | None = None, id_col: str = "doc_
     ids array<int> and decoded string.  Null and empty texts have no tokens.
     Nothing is shuffled; other columns of the input don't take part.
     """
-    # The encoder and its cache live in a worker as long as the broadcast, and no longer.
     shared = df.sparkSession.sparkContext.broadcast(SegmentTreeBPE(tokenizer_spec(path)))
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+    new = {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
+    if with_ids:
+        new |= {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def begin():
         bpe = shared.value
+        bpe.cache.clear()
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "replace")).hexdigest()
-        for batch in batches:
-            rows, texts = [], batch["text"].tolist()
-            for at in range(0, len(texts), 500):
-                for ids, decoded in bpe.joined_batch(texts[at : at + 500]):
-                    row = (ids.count(" ") + 1 if ids else 0, sha(ids), sha(decoded))
-                    rows.append((*row, [int(i) for i in ids.split()], decoded) if with_ids else row)
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 5 if with_ids else 3])
-            out.insert(0, "doc_id", batch["doc_id"].array)
-            yield out
-
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+
+        def encode(texts: list[str | None]) -> list[list]:
+            both = bpe.joined_batch(texts)
+            made = [[ids.count(" ") + 1 if ids else 0 for ids, _ in both], [sha(ids) for ids, _ in both], [sha(said) for _, said in both]]
+            return made + [[[int(i) for i in ids.split()] for ids, _ in both], [said for _, said in both]] * with_ids
+
+        return encode
+
+    named = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return map_texts(named, "text", ["doc_id"], new, begin)
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:

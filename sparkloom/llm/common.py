@@ -1,12 +1,19 @@
-"""What the corpus operators share: tables, the shared folder, written intermediates."""
+"""What the corpus operators share: tables, the shared folder, written intermediates, maps over texts."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import broadcast
+from pyspark.sql.types import StructType
+
+#: Texts that a task holds as Python strings at once; Arrow batches are cut into such parts.
+PART_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,19 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir.
+    """The folder that the cluster shares, from spark.checkpoint.dir or the context's checkpoint folder.
 
-    Only where the setting is absent (tests, a notebook) a folder of this
-    machine is made and set.
+    Where neither is set, a session within one process (tests, a notebook) gets
+    a temporary folder; on a cluster that is an error, since executors would
+    write where the driver can't read.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        set_already = spark.sparkContext.getCheckpointDir()
-        if set_already:
-            return set_already
-        folder = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-        return spark.sparkContext.getCheckpointDir() or folder
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sparkloom-"))
+        folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 
@@ -50,3 +56,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(*frames: DataFrame) -> None:
+    """Delete the files of tables made by written() that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def map_texts(df: DataFrame, text_col: str, keep: list[str], new: dict[str, tuple[str, pa.DataType]], begin: Callable[[], Callable[[list], list[list]]]) -> DataFrame:
+    """Columns `keep` and `new` (name -> Spark type, Arrow type) of every row, the new ones from its whole text.
+
+    `begin` is called once in a task, so caches live no longer than it; what it
+    returns takes the texts of PART_ROWS rows and gives the lists of the new
+    columns.  Kept columns pass through as they are; one that has the name of a
+    new one is left out.  Rows map one to one and nothing is shuffled.
+    """
+    keep = [c for c in keep if c.lower() not in {n.lower() for n in new}]
+    added = StructType.fromDDL(", ".join(f"`{n}` {kind}" for n, (kind, _) in new.items()))
+    schema = StructType([*df.select(*[F.col(f"`{c}`") for c in keep]).schema.fields, *added.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts_of = begin()
+        for batch in batches:
+            for at in range(0, batch.num_rows, PART_ROWS):
+                part = batch.slice(at, PART_ROWS)
+                made = texts_of(part.column(len(keep)).to_pylist())
+                columns = [pa.array(values, kind) for values, (_, kind) in zip(made, new.values())]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *columns], names=schema.names)
+
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("text")).mapInArrow(run, schema)
