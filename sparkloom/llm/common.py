@@ -76,16 +76,18 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], new: dict[str, tupl
     new one is left out.  Rows map one to one and nothing is shuffled.
     """
     keep = [c for c in keep if c.lower() not in {n.lower() for n in new}]
+    used = keep if text_col in keep else [*keep, text_col]
+    frame, at_text = df.select(*[F.col(f"`{c}`") for c in used]), used.index(text_col)
     added = StructType.fromDDL(", ".join(f"`{n}` {kind}" for n, (kind, _) in new.items()))
-    schema = StructType([*df.select(*[F.col(f"`{c}`") for c in keep]).schema.fields, *added.fields])
+    schema = StructType([*frame.schema.fields[: len(keep)], *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts_of = begin()
         for batch in batches:
             for at in range(0, batch.num_rows, PART_ROWS):
                 part = batch.slice(at, PART_ROWS)
-                made = texts_of(part.column(len(keep)).to_pylist())
+                made = texts_of(part.column(at_text).to_pylist())
                 columns = [pa.array(values, kind) for values, (_, kind) in zip(made, new.values())]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *columns], names=schema.names)
 
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return frame.mapInArrow(run, schema)

@@ -14,12 +14,14 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField
 
-from .common import table
+from .common import map_texts, removed, table, written
 from .shingles import _MUL, mix64
 
 _WORD = re.compile(r"[^\W_]+")
@@ -43,11 +45,12 @@ def pieces(n: int, k: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def myers(pattern: list[str], text: list[str]) -> tuple[int, int]:
+def myers(pattern: list[str], text: list[str], anchored: bool = False) -> tuple[int, int]:
     """(distance, end) of the pattern's best match anywhere in the text, the first of the best; words are symbols.
 
-    The column of differences is two bit vectors as long as the pattern, so a
-    text word costs a few whole-number operations.
+    An anchored match starts with the text's first word.  The column of
+    differences is two bit vectors as long as the pattern, so a text word costs
+    a few whole-number operations.
     """
     m = len(pattern)
     if not m:
@@ -65,7 +68,7 @@ def myers(pattern: list[str], text: list[str]) -> tuple[int, int]:
         ph = down | (~(xh | up) & full)
         mh = up & xh
         score += bool(ph & last) - bool(mh & last)
-        ph = (ph << 1) & full
+        ph = (ph << 1 | anchored) & full
         mh = (mh << 1) & full
         up = mh | (~(xv | ph) & full)
         down = ph & xv
@@ -106,7 +109,7 @@ class Matcher:
     def find(self, text: str | None, known: dict[str, int]) -> list[tuple[int, int, int, int]]:
         """(item, distance, first word, end) of every item within its budget somewhere in a whole text."""
         own = words(text)
-        if len(known) > 300_000:
+        if len(known) > 40_000:
             known.clear()
         h = self._hash(own, known)
         looks: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -134,50 +137,57 @@ class Matcher:
             for a, b in joined:
                 distance, end = myers(item, own[a:b])
                 if distance <= budget(len(item), self.share) and (best is None or distance < best[1]):
-                    best = (item_id, distance, max(0, a + end - len(item)), a + end)
+                    # Read backwards from its end, the match shows where it starts: the latest start of equal distance.
+                    back = own[max(0, a + end - len(item) - distance) : a + end][::-1]
+                    best = (item_id, distance, a + end - myers(item[::-1], back, True)[1], a + end)
             if best:
                 out.append(best)
         return out
 
 
-HITS = "array<struct<item_id:{kind},distance:int,start:int,end:int>>"
-
-
 def find_leaks(documents: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, share: float = ERRORS) -> DataFrame:
     """Columns `keep` (default doc_id) and `leaks`, the items found in each whole text, by item.
 
-    Every document keeps its row; a null or empty text has no leaks.  Items
-    without words, and null items, match nothing; equal items are each
-    reported.  Items are broadcast in blocks of at most BLOCK_BYTES of text
-    (one item more at most), each block a pass over the documents' rows in
-    the same tasks, so a large benchmark needs more time and not more memory.
+    Every document keeps its row; a null or empty text has no leaks.  A leak is
+    (item_id, distance, start, end): the first of the places of least distance,
+    in words of the text, end exclusive.  Items without words, and null items,
+    match nothing; equal items are each reported.  A kept column called `leaks`
+    gives way.  Items are broadcast in blocks of at most BLOCK_BYTES of text
+    (one item more at most); with several, each block is a pass of its own whose
+    rows are written, so a large benchmark needs more time and not more memory.
     """
-    keep = keep or ["doc_id"]
-    spark = documents.sparkSession
+    keep = [c for c in keep or ["doc_id"] if c.lower() != "leaks"]
     items = benchmark.select("item_id", "text").filter("text IS NOT NULL AND item_id IS NOT NULL")
-    kind = benchmark.schema["item_id"].dataType.simpleString()
-    hits = HITS.format(kind=kind)
+    kind = benchmark.schema["item_id"]
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    frame = documents.select(*keep, F.col("text").alias("__text")).withColumn("leaks", F.array().cast(hits))
+    used = [*dict.fromkeys([*keep, "text"])]
+    frame, before = documents.select(*used), None
     for block in range(blocks):
         some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).distinct().collect()
         own = sorted((r["item_id"], w) for r in some if (w := words(r["text"])))
-        frame = _pass(frame, spark.sparkContext.broadcast(own), share)
-    return frame.drop("__text")
-
-
-def _pass(frame: DataFrame, items, share: float) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = _pass(frame, keep if block == blocks - 1 else used, kind, own, share)
+        if blocks > 1:
+            frame = written(frame, "leaks")
+            if before is not None:
+                removed(before)
+            before = frame
+    return frame
+
+
+def _pass(frame: DataFrame, keep: list[str], kind: StructField, own: list[tuple], share: float) -> DataFrame:
+    """The frame with the leaks of one block's items after those that it has."""
+    items = frame.sparkSession.sparkContext.broadcast(own)
+    hit = pa.struct([("item_id", to_arrow_type(kind.dataType)), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+    new = {"__found": (f"array<struct<item_id:{kind.dataType.simpleString()},distance:int,start:int,end:int>>", pa.list_(hit))}
+
+    def begin():
         matcher, known = Matcher(items.value, share), {}
-        for batch in batches:
-            leaks = []
-            for text, before in zip(batch["__text"], batch["leaks"]):
-                found = [dict(zip(("item_id", "distance", "start", "end"), x)) for x in matcher.find(text, known)]
-                leaks.append(sorted([*before, *found], key=lambda x: x["item_id"]))
-            yield batch.assign(leaks=pd.Series(leaks, index=batch.index, dtype=object))
-
-    return frame.mapInPandas(run, frame.schema)
+        return lambda texts: [[[dict(zip(("item_id", "distance", "start", "end"), x)) for x in sorted(matcher.find(t, known))] for t in texts]]
+
+    earlier = "leaks" in frame.columns
+    found = map_texts(frame, "text", [*keep, "leaks"] if earlier else keep, new, begin)
+    return found.select(*keep, (F.array_sort(F.concat("leaks", "__found")) if earlier else F.col("__found")).alias("leaks"))
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -94,6 +94,24 @@ def edit(p, t):
     return min(row)
 
 
+def whole_edit(p, t):
+    row = list(range(len(t) + 1))
+    for i, a in enumerate(p):
+        new = [i + 1]
+        for j, b in enumerate(t):
+            new.append(min(new[-1] + 1, row[j + 1] + 1, row[j] + (a != b)))
+        row = new
+    return row[-1]
+
+
+def test_leaks_start_where_they_start(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = frame(spark, ["zz yy " + item.replace("five ", "") + " xx", "a " + item, item.removeprefix("one ")]).withColumn("leaks", F.lit("mine"))
+    found = {r.doc_id: [tuple(x) for x in r.leaks] for r in decontamination.find_leaks(docs, bench, keep=["doc_id", "leaks"]).collect()}
+    assert found == {0: [(1, 1, 2, 13)], 1: [(1, 0, 1, 13)], 2: [(1, 1, 0, 11)]}
+
+
 def test_myers_is_edit_distance():
     rng = random.Random(1)
     for _ in range(500):
@@ -115,7 +133,15 @@ def test_leaks_match_brute_force(spark, monkeypatch, block):
         texts.append(words(rng, rng.randrange(30)) + " " + ", ".join(own).title() + " " + words(rng, rng.randrange(30)))
     texts += ODD
     bench = spark.createDataFrame([*enumerate([*items, items[0], "", None]), (None, "x")], "item_id long, text string")
-    got = {(r.doc_id, x.item_id): x.distance for r in decontamination.find_leaks(frame(spark, texts), bench).collect() for x in r.leaks}
+    found = decontamination.find_leaks(frame(spark, texts), bench).collect()
+    got = {(r.doc_id, x.item_id): x.distance for r in found for x in r.leaks}
+    everything = [*items, items[0]]
+    for r in found:
+        own = decontamination.words(texts[r.doc_id])
+        for x in r.leaks:  # the stretch has the distance, and no shorter one that ends there has
+            item = decontamination.words(everything[x.item_id])
+            assert whole_edit(item, own[x.start : x.end]) == x.distance
+            assert x.start == x.end or whole_edit(item, own[x.start + 1 : x.end]) > x.distance
     want = {}
     for i, t in enumerate(texts):
         for j, item in enumerate([*items, items[0]]):
