@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -313,6 +314,51 @@ def test_network_finds_what_it_was_taught():
     assert all(f == [] for f in pii.added_spans(texts, base, model))
 
 
+@pytest.fixture(scope="module")
+def taught():
+    """A network of the operator's own training, without documents of a table."""
+    rng = random.Random(7)
+    plain = [words(rng, 9)[: pii.WINDOW] for _ in range(300)]
+    return pii.train([(t, np.zeros(len(t), np.int64)) for t in plain] + pii.planted(plain, 4000), steps=450), plain
+
+
+#: Forms that training has none of.
+UNTAUGHT = {"at": (" (AT) ",), "dot": (" . ", "[dot]"), "ip": (" (.) ",), "card": (" : ", " | "), "phone": ("({a})-{b}-{d}", "0{a}-{b}{d}")}
+
+
+@pytest.mark.parametrize(("forms", "share"), [(pii.FORMS, 0.9), (UNTAUGHT, 0.5)])
+def test_network_adds_what_the_base_misses(taught, forms, share):
+    model, plain = taught
+    windows = pii.planted(plain, 400, seed=99, forms=forms)
+    texts = [t for t, _ in windows]
+    base = [pii.base_spans(t) for t in texts]
+    want = [[x for x in pii._decoded(own.astype(np.int8)) if all(x[2] <= a or x[1] >= b for s in found.values() for a, b in s)] for (_, own), found in zip(windows, base)]
+    got = pii.added_spans(texts, base, model)
+    right = sum(len(set(w) & set(g)) for w, g in zip(want, got))
+    assert right >= share * sum(map(len, want)) > 100
+    assert right >= 0.95 * sum(map(len, got))
+
+
+def test_viterbi_and_its_bound_match_brute_force():
+    rng = np.random.default_rng(4)
+    model = pii.BiLSTMCRF.fresh()
+    model.params["t"], model.params["s"] = rng.normal(0, 2, (pii.TAGS, pii.TAGS)), rng.normal(0, 2, pii.TAGS)
+    many = [rng.normal(0, 2, (n, pii.TAGS)) - 9 * (n % 2) * (np.arange(pii.TAGS) > 0) for n in (1, 2, 3, 4, 3, 1)]
+    for em, path in zip(many, model.viterbi(many)):
+        score = lambda p: model.params["s"][p[0]] + sum(em[i, k] for i, k in enumerate(p)) + sum(model.params["t"][a, b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
+        assert tuple(path) == max(itertools.product(range(pii.TAGS), repeat=len(em)), key=score)
+        assert not model.certain(em) or not path.any()
+
+
+def test_long_stretches_of_digits_are_decoded_in_parts(taught):
+    model, _ = taught
+    card = "4111|1111|1111|1111"
+    text = "see leaf 7 of bag ad " * 150 + f"bead {card} cab bag " + "see leaf 8 of bag ad " * 300
+    assert max(b - a for a, b in pii.stretches(*pii.regions(text)[0])) == pii.LONG and len(pii.regions(text)) == 1
+    [found] = pii.added_spans([text], [pii.base_spans(text)], model)
+    assert ("card", text.index(card), text.index(card) + len(card)) in found
+
+
 # ---- op6
 def test_fingerprints_align_shifted_recordings(spark):
     rng = np.random.default_rng(8)
