@@ -4,8 +4,9 @@ The lexicon holds whole words and word stems whose documents are labelled
 toxic too often for chance.  Its trie is intersected with a Levenshtein
 automaton (the pair is made deterministic lazily), so one walk over a word
 finds every entry within that entry's error budget.  Each hit is weighed by
-the window of words around it: quoting and reporting lower it, address raises
-it.  A document's score is the chance that at least one hit is abuse.
+the window of words around it: quotation marks and reporting words lower it,
+address raises it, by factors learnt from the labels of documents with hits.  A
+document's score is the chance that at least one hit is abuse.
 """
 
 from __future__ import annotations
@@ -15,18 +16,25 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_texts, table
 
 _WORD = re.compile(r"[^\W_]+")
+# Scripts without spaces between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 STEM = range(3, 9)  # lengths of stems in characters
 WINDOW = 8  # words on either side of a hit
 EDIT_FACTOR = 0.6  # what a misspelling keeps of its term's weight for each error
 EVIDENCE = 4.0  # documents that this guess counts as: four clean ones and no toxic one bring 0.6 below 0.3
+FEW = 10.0  # a term known from so many toxic documents vouches half for its misspellings
+PRIOR_HITS = 10.0  # documents that the factors below count as, against those of the sample
+QUOTED, REPORTED, ADDRESSED = 0.4, 0.6, 1.2
 # Fixed cue words of the context window.
 REPORTING = frozenset("said says called calls quoted quote quotes wrote word words term terms definition means slur dit dijo sagte genannt".split())
 ADDRESS = frozenset("you your youre u ur du dich dein tu te ton toi vous tus eres usted".split())
@@ -34,6 +42,47 @@ OPEN, CLOSE = "\"“„«‘", "\"”“»’"
 
 
 _OPEN = re.compile(f"[{OPEN}]")
+CUES = dict.fromkeys(REPORTING, REPORTED) | dict.fromkeys(ADDRESS, ADDRESSED)
+
+
+class Word(NamedTuple):
+    """A word and its place; like a match in what is used of it."""
+
+    text: str
+    a: int
+    b: int
+
+    def span(self) -> tuple[int, int]:
+        """Start and end in the text."""
+        return self.a, self.b
+
+    def start(self) -> int:
+        """Start in the text."""
+        return self.a
+
+    def end(self) -> int:
+        """End in the text."""
+        return self.b
+
+
+def words_of(plain: str) -> list:
+    """The words of a text in order; runs of scripts without spaces give each pair of neighbouring characters."""
+    found = list(_WORD.finditer(plain))
+    if plain.isascii() or not _UNSPACED.search(plain):
+        return found
+    out: list = []
+    for m in found:
+        at, end = m.span()
+        while at < end:
+            run = _UNSPACED.search(plain, at, end)
+            stop = run.start() if run else end
+            if stop > at:
+                out.append(Word(plain[at:stop], at, stop))
+            if run:
+                a, b = run.span()
+                out += [Word(plain[k : k + 2], k, k + 2) for k in range(a, b - 1)] or [Word(plain[a:b], a, b)]
+            at = run.end() if run else end
+    return out
 
 
 def quoted(before: str, after: str) -> bool:
@@ -43,11 +92,12 @@ def quoted(before: str, after: str) -> bool:
 
 def plain_uses(plain: str) -> tuple[list[str], list[bool]]:
     """The words of a text in lower case, and whether each is used plainly: neither in quotation nor near a reporting word."""
-    names = _WORD.findall(plain)
+    matches = words_of(plain)
+    names = [m[0] for m in matches]
     uses = [True] * len(names)
     marks = [m.start() for m in _OPEN.finditer(plain)]
     if marks:
-        found = [m.span() for m in _WORD.finditer(plain)]
+        found = [m.span() for m in matches]
         starts = [a for a, _ in found]
         # A mark counts for the WINDOW words after it.
         for i in sorted({k for p in marks for at in [bisect_left(starts, p)] for k in range(at, min(at + WINDOW, len(found)))}):
@@ -69,7 +119,7 @@ class LexiconAutomaton:
     matches every word that starts with it.
     """
 
-    STATES = 100_000
+    STATES = 10_000
 
     def __init__(self, terms: dict[str, tuple[float, int, bool]]):
         self.terms = terms
@@ -157,21 +207,31 @@ def errors_allowed(term: str, stem: bool) -> int:
     return 0 if n < 5 or (stem and n < 7) else 1 if n < 10 or stem else 2
 
 
+def surroundings(plain: str, found: list, i: int) -> tuple[bool, set[str]]:
+    """Whether word i stands in quotation, and the words in its window."""
+    low, high = max(0, i - WINDOW), min(len(found) - 1, i + WINDOW)
+    around = {found[k][0] for k in range(low, high + 1) if k != i}
+    return quoted(plain[found[low].start() : found[i].start()], plain[found[i].end() : found[high].end() + 1]), around
+
+
 class ToxicityModel:
-    """Lexicon, the weights of misspellings seen in training, and the prior of a document without hits.
+    """Lexicon, the weights of misspellings seen in training, the prior of a document without hits, and context factors.
 
     Other misspellings have their term's weight times `unseen` for each error,
-    divided by the number of ordinary words next to the term, beyond the first.
+    times the term's `trust`.  `cues` has the factors of words near a hit,
+    `quote` is that of quotation.
     """
 
-    def __init__(self, terms: dict[str, tuple[float, int, bool]], variants: dict[str, float], unseen: float, prior: float, crowd: dict[str, int] | None = None):
+    KNOWN = 20_000
+
+    def __init__(self, terms: dict[str, tuple[float, int, bool]], variants: dict[str, float], unseen: float, prior: float, trust: dict[str, float] | None = None, cues: dict[str, float] | None = None, quote: float = QUOTED):
         self.terms, self.variants, self.unseen, self.prior = terms, variants, unseen, prior
-        self.crowd = crowd or {}
+        self.trust, self.cues, self.quote = trust or {}, CUES if cues is None else cues, quote
         self.automaton = LexiconAutomaton(terms)
         self.known: dict[str, float] = {}
 
     def __reduce__(self):
-        return ToxicityModel, (self.terms, self.variants, self.unseen, self.prior, self.crowd)
+        return ToxicityModel, (self.terms, self.variants, self.unseen, self.prior, self.trust, self.cues, self.quote)
 
     def weight(self, word: str) -> float:
         """The chance that a word marks a toxic document, 0 for most words."""
@@ -181,8 +241,8 @@ class ToxicityModel:
             found = 0.0
             if hit:
                 errors, term = hit
-                found = self.terms[term][0] if not errors else self.variants.get(word, self.terms[term][0] * self.unseen**errors / max(1, self.crowd.get(term, 0) - 1))
-            if len(self.known) > 300_000:
+                found = self.terms[term][0] if not errors else self.variants.get(word, self.terms[term][0] * self.unseen**errors * self.trust.get(term, 1.0))
+            if len(self.known) > self.KNOWN:
                 self.known.clear()
             if len(word) < 80:
                 self.known[word] = found
@@ -191,32 +251,28 @@ class ToxicityModel:
     def score(self, text: str | None) -> float:
         """Score of a whole text; the prior for null, empty and clean texts."""
         plain = (text or "").lower()
-        hits = {w for w in set(_WORD.findall(plain)) if self.weight(w)}
+        spaced = plain.isascii() or not _UNSPACED.search(plain)
+        hits = {w for w in set(_WORD.findall(plain) if spaced else [m[0] for m in words_of(plain)]) if self.weight(w)}
         clean = 1.0 - self.prior
         if hits:
-            found = list(_WORD.finditer(plain))
+            found = words_of(plain)
             best: dict[str, float] = {}
             for i, m in enumerate(found):
                 if (w := m[0]) in hits:
-                    best[w] = max(best.get(w, 0.0), min(0.999, self.weight(w) * self.context(plain, found, i)))
-            for w in sorted(best):
+                    best[w] = max(best.get(w, 0.0), min(0.999, self.weight(w) * self.context(plain, found, i, self.cues, self.quote)))
+            # Guesses of misspellings err together: only the surest one counts beside the terms themselves.
+            guessed = {w for w in best if self.automaton.match(w)[0]}
+            for w in sorted(best.keys() - guessed):
                 clean *= 1.0 - best[w]
+            clean *= 1.0 - max((best[w] for w in guessed), default=0.0)
         return 1.0 - clean
 
     @staticmethod
-    def context(plain: str, found: list[re.Match], i: int) -> float:
-        """Factor of a hit by the words and quotation marks around it."""
-        low, high = max(0, i - WINDOW), min(len(found) - 1, i + WINDOW)
-        around = {found[k][0] for k in range(low, high + 1) if k != i}
-        before, after = plain[found[low].start() : found[i].start()], plain[found[i].end() : found[high].end() + 1]
-        factor = 1.0
-        if quoted(before, after):
-            factor *= 0.4
-        if around & REPORTING:
-            factor *= 0.6
-        if around & ADDRESS:
-            factor *= 1.2
-        return factor
+    def context(plain: str, found: list, i: int, cues: dict[str, float] = CUES, quote: float = QUOTED) -> float:
+        """Factor of a hit by its surroundings: quotation, and of the words around it the one that lowers and the one that raises most."""
+        inside, around = surroundings(plain, found, i)
+        factors = [cues[w] for w in around if w in cues]
+        return (quote if inside else 1.0) * min([1.0, *factors]) * max([1.0, *factors])
 
 
 def _tail(k: int, n: int, p: float) -> float:
@@ -238,7 +294,7 @@ def learn(labelled: DataFrame) -> ToxicityModel:
         seen: dict[tuple[str, bool], list[int]] = {}
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"]):
-                own = {w for w, plain in zip(*plain_uses(text.lower())) if plain and len(w) < 80}
+                own = {w for w, plain in zip(*plain_uses(text.lower())) if plain}
                 keys = {(w, False) for w in own} | {(w[:k], True) for w in own for k in STEM if len(w) > k} | {("", True)}
                 for key in keys:
                     seen.setdefault(key, [0, 0])[int(label > 0)] += 1
@@ -303,8 +359,59 @@ def learn(labelled: DataFrame) -> ToxicityModel:
     # The guess from term and errors is weighed against the documents that have this very word, not against other words.
     over = lambda r: max(0.0, (r["toxic"] - rate * (r["toxic"] + r["clean"])) / (1 - rate))
     crowd = Counter(r["near"] for r in close if r["toxic"] < 9 * r["clean"])
-    weigh = lambda r: (over(r) + EVIDENCE * r["guess"] / max(1, crowd[r["near"]] - 1)) / (r["toxic"] + r["clean"] + EVIDENCE)
-    return ToxicityModel(terms, {r["term"]: weigh(r) for r in close}, EDIT_FACTOR, 0.01, dict(crowd))
+    support = {r["term"]: r["toxic"] for r in sure if r["term"] in terms and bool(r["stem"]) == terms[r["term"]][2]}
+    trust = {t: n / (n + FEW) / max(1, crowd[t] - 1) for t, n in support.items()}
+    weigh = lambda r: (over(r) + EVIDENCE * r["guess"] * trust[r["near"]]) / (r["toxic"] + r["clean"] + EVIDENCE)
+    cues, quote = learn_context(rows, terms)
+    return ToxicityModel(terms, {r["term"]: weigh(r) for r in close}, EDIT_FACTOR, 0.01, trust, cues, quote)
+
+
+def learn_context(rows: DataFrame, terms: dict[str, tuple[float, int, bool]]) -> tuple[dict[str, float], float]:
+    """Factors of the words near hits and of quotation, from the labels of the sample's documents that have hits.
+
+    A factor is the share of toxic documents among those with the cue near a
+    hit, against the share among those with plain hits.  The fixed cue words
+    start from their fixed factors, which count as PRIOR_HITS documents; any
+    other word becomes a cue if clean documents have it near plain hits too often
+    for chance.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(terms)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, seen = shared.value, {}
+        for batch in batches:
+            for text, label in zip(batch["text"], batch["label"]):
+                plain = text.lower()
+                found = words_of(plain)
+                kinds: set[tuple[str, str]] = set()
+                for i, m in enumerate(found):
+                    if (w := m[0]) in own or any(w[:k] in own and own[w[:k]][2] for k in STEM):
+                        inside, around = surroundings(plain, found, i)
+                        explained = inside or not REPORTING.isdisjoint(around)
+                        kinds |= {("near", c) for c in around if c in CUES or not explained}
+                        kinds.add(("quoted", "") if inside else ("reported", "") if explained else ("plain", ""))
+                for key in kinds:
+                    seen.setdefault(key, [0, 0])[int(label > 0)] += 1
+        if seen:
+            yield pd.DataFrame([(*k, a, b) for k, (a, b) in seen.items()], columns=["kind", "cue", "clean", "toxic"])
+
+    counts = rows.mapInPandas(count, "kind string, cue string, clean long, toxic long").groupBy("kind", "cue").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    # What comes back are the fixed cues and the words near hits of five documents of the bounded sample.
+    met = {(r["kind"], r["cue"]): r for r in counts.filter((F.col("kind") != "near") | (F.col("toxic") + F.col("clean") >= 5) | F.col("cue").isin(*sorted(CUES))).collect()}
+    plain = met.get(("plain", ""))
+    share = (plain["toxic"] + 1) / (plain["toxic"] + plain["clean"] + 1) if plain else 1.0
+
+    def factor(r, prior: float) -> float:
+        t, n = (r["toxic"], r["toxic"] + r["clean"]) if r else (0, 0)
+        return min(ADDRESSED, max(0.02, (t + PRIOR_HITS * prior * share) / (n + PRIOR_HITS) / share))
+
+    cues = {w: factor(met.get(("near", w)), prior) for w, prior in CUES.items()}
+    near = [r for (kind, w), r in met.items() if kind == "near" and w not in CUES]
+    for r in near:
+        n, chance = r["toxic"] + r["clean"], min(0.999, max(1 - share, 0.01))
+        if r["clean"] > n * chance and _tail(r["clean"], n, chance) + math.log(len(near)) < math.log(0.01):
+            cues[r["cue"]] = factor(r, 1.0)
+    return cues, factor(met.get(("quoted", "")), QUOTED)
 
 
 def bounded_sample(documents: DataFrame, labels: DataFrame, label: str, fold: int, held: int, most: int) -> DataFrame:
@@ -324,20 +431,16 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, keep: list[str] |
     """Score every whole text; returns the columns `keep` (default doc_id) and `toxicity`.
 
     Null and empty texts get the model's prior.  Rows, repeated ones too, map
-    one to one; nothing is shuffled.
+    one to one; nothing is shuffled.  A kept column called `toxicity` gives way.
     """
-    keep = keep or ["doc_id"]
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    frame = documents.select(*keep, F.col("text").alias("__text"))
-    schema = documents.select(*keep).withColumn("toxicity", F.lit(0.0)).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def begin():
         own = shared.value
-        for batch in batches:
-            scores = [own.score(t) for t in batch["__text"]]
-            yield batch.drop(columns="__text").assign(toxicity=scores)
+        own.known.clear()
+        return lambda texts: [[own.score(t) for t in texts]]
 
-    return frame.mapInPandas(run, schema)
+    return map_texts(documents, "text", keep or ["doc_id"], {"toxicity": ("double", pa.float64())}, begin)
 
 
 MOST_LABELS = 20_000

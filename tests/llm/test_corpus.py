@@ -223,6 +223,37 @@ def test_plain_uses_agree_with_the_context_of_hits():
             assert uses[i] == (toxicity.ToxicityModel.context(text, found, i) >= 1.0), (text, i, around)
 
 
+def test_context_is_learnt_from_labels(spark):
+    rng = random.Random(15)
+    toxic = ["scoundrel"] * 80
+    clean = [""] * 200 + ['"scoundrel" there'] * 30 + ["nautical scoundrel"] * 8
+    rows = planted_labels(rng, toxic, clean)
+    model = toxicity.learn(spark.createDataFrame(rows, "text string, label int"))
+    assert model.quote < 0.2 and model.cues["nautical"] < 0.7 and model.cues["said"] == pytest.approx(0.6)
+    assert model.score("nautical scoundrel") < model.score("such a scoundrel")
+
+
+def test_unspaced_scripts_and_long_words(spark):
+    rng = random.Random(16)
+    han = "".join(map(chr, range(0x4E00, 0x4E40)))
+    line = lambda: "".join(rng.choice(han) for _ in range(20))
+    long_ = "b" * 100
+    rows = [(line() + "傻瓜" + line(), 1) for _ in range(30)] + [(f"here {long_} {i} end", 1) for i in range(30)] + [(line(), 0) for _ in range(100)] + [(f"here {i} end", 0) for i in range(100)]
+    model = toxicity.learn(spark.createDataFrame(rows, "text string, label int"))
+    assert model.score(line()[1:] + "傻瓜" + line()) > 0.3 > model.score(line())
+    assert model.score(f"x {long_}") > 0.3
+    assert [m[0] for m in toxicity.words_of("ab好的吗cd 好")] == ["ab", "好的", "的吗", "cd", "好"]
+
+
+def test_toxicity_on_held_out_documents(spark):
+    """Of sf0.1's held-out documents, toxic ones are found and clean ones left alone."""
+    docs, labels = labelled(spark, "/root/testdata/sf0.1")
+    held = labels.filter("crc32(cast(doc_id AS string)) % 4 = 2")
+    got = toxicity.score_toxicity(docs, toxicity.fitted(docs, labels)).join(held, "doc_id").groupBy("toxic").agg(F.avg((F.col("toxicity") >= 0.3).cast("int")).alias("flagged")).collect()
+    flagged = {r.toxic: r.flagged for r in got}
+    assert flagged[1] >= 0.85 and flagged[0] <= 0.03
+
+
 def labelled(spark, sf_dir):
     read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     return read("documents"), read("labels")
