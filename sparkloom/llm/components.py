@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import removed, written
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = small.select(F.col("a").alias("u"), F.col("b").alias("v")).union(small.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _star(both, True)
-        small = written(_star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), False), "edges")
+        last, small = small, written(_star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), False), "edges")
+        removed(last)
         now = tuple(small.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(xxhash64(b, a) % 1000003)")).first())
         if now == mark:
             return small.select(F.col("a").alias("node"), F.col("b").alias("component"))

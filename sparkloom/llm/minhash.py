@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, table, written
+from .common import map_texts, removed, small_side, table, written
 from .components import connected_components
 from .shingles import WordHashes, fast_similarity_sketch, shingle_set
 
@@ -38,20 +39,25 @@ def linked(common, a, b, percent: int = PERCENT):
     return 100 * common >= percent * (a + b - common)
 
 
+def _sid(shingles: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
+
+
 def sketches(df: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
     """(id, n_shingles, sid, sketch) of every whole text; sid is the 128-bit hash of the shingle set, null without shingles."""
-    kind = df.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def begin():
         hashes = WordHashes()
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                sets = [shingle_set(t, width, hashes) for t in part["text"]]
-                low = fast_similarity_sketch(sets, BANDS * PER_BAND).astype("<u2")
-                yield pd.DataFrame({"id": part["id"].array, "n_shingles": [len(s) for s in sets], "sid": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "sketch": [x.tobytes() if len(s) else None for x, s in zip(low, sets)]})
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, n_shingles long, sid binary, sketch binary")
+        def sketch(texts: list[str | None]) -> list[list]:
+            sets = [shingle_set(t, width, hashes) for t in texts]
+            low = fast_similarity_sketch(sets, BANDS * PER_BAND).astype("<u2")
+            return [[len(s) for s in sets], [_sid(s) for s in sets], [x.tobytes() if len(s) else None for x, s in zip(low, sets)]]
+
+        return sketch
+
+    new = {"n_shingles": ("long", pa.int64()), "sid": ("binary", pa.binary()), "sketch": ("binary", pa.binary())}
+    return map_texts(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", ["id"], new, begin)
 
 
 def shingle_sets_of(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
@@ -65,14 +71,16 @@ def shingle_sets_of(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str
     if not ids.filter("id IS NULL").isEmpty():
         texts = texts.union(own.filter("id IS NULL"))  # not a join by key: all of them would be dealt to one task
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def begin():
         hashes = WordHashes()
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                sets = [shingle_set(t, width, hashes) for t in batch["text"].iloc[at : at + 500]]
-                yield pd.DataFrame({"sid": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "shingles": [s.tobytes() for s in sets]})
 
-    found = texts.mapInPandas(run, "sid binary, shingles binary")
+        def full(texts: list[str | None]) -> list[list]:
+            sets = [shingle_set(t, width, hashes) for t in texts]
+            return [[_sid(s) for s in sets], [s.tobytes() for s in sets]]
+
+        return full
+
+    found = map_texts(texts, "text", [], {"sid": ("binary", pa.binary()), "shingles": ("binary", pa.binary())}, begin)
     # A repeated id may bring texts of other classes, or one class more than once.
     return found.join(small_side(wanted.select("sid")), "sid", "left_semi").dropDuplicates(["sid"])
 
@@ -82,16 +90,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     first = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a")
     both = first.join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch["x"], batch["y"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("x"), batch.column("y")):  # views of the batch, no copies
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 common = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(bool(linked(common, len(x), len(y), percent)))
-            yield batch.loc[keep, ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInPandas(run, "a binary, b binary")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -202,7 +210,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     met = written(entries.join(sizes, "key"), "bands")
     degree = met.groupBy("sid").agg(F.sum("size").alias("degree"))
     hubs = met.join(degree, "sid").groupBy("key").agg(F.max(F.struct("degree", "sid")).alias("hub")).select("key", F.col("hub.sid").alias("hub"))
-    met = written(met.join(hubs, "key"), "hubs")
+    bands, met = met, written(met.join(hubs, "key"), "hubs")
+    removed(bands)
     wanted = met.select("sid").distinct().join(classes.select("sid", "id"), "sid")
     sets = written(shingle_sets_of(df, wanted, id_col, text_col, width), "sets")
     stars = met.filter("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
@@ -216,15 +225,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = written(placed.withColumn("is_left", F.expr("comp <> hub_comp")), "placed")
     mixed = placed.filter("is_left").groupBy("key").agg(F.count(F.lit(1)).alias("left"))
     blocks = _blocks(placed.filter("sid <> hub").join(mixed, "key"))
-    bands = placed.select("key", "band").distinct()
-    full = blocks.join(bands, "key").join(classes.select("sid", "sketch"), "sid")
+    full = blocks.join(placed.select("key", "band").distinct(), "key").join(classes.select("sid", "sketch"), "sid")
     dealt = full.repartition(*KEYS).sortWithinPartitions(*KEYS)
     near = written(dealt.mapInPandas(_promising, "key long, lb int, mb int, role boolean, sid binary, comp binary"), "promising")
     with_sets = near.join(sets, "sid").repartition(*KEYS).sortWithinPartitions(*KEYS)
     more = with_sets.mapInPandas(lambda it: _compare(it, percent), "a binary, b binary")
     more = written(more, "more-links")
     if not more.isEmpty():
+        removed(component)
         component = written(connected_components(links.union(more)), "components")
+    removed(met, sets, links, placed, near, more)
 
     # Components and ids meet by class; a class that is linked with none is its own.
     by_class = classes.select("sid", "id").join(component, F.col("sid") == F.col("node"), "left").select("sid", "id", F.coalesce("component", "sid").alias("comp"))

@@ -24,7 +24,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash, kept for the words met so far; emptied when it grows too large."""
 
-    LIMIT = 400_000
+    LIMIT = 40_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -33,6 +33,7 @@ WINDOW = 8  # words on either side of a hit
 EDIT_FACTOR = 0.6  # what a misspelling keeps of its term's weight for each error
 EVIDENCE = 4.0  # documents that this guess counts as: four clean ones and no toxic one bring 0.6 below 0.3
 FEW = 10.0  # a term known from so many toxic documents vouches half for its misspellings
+HELD = 100_000  # counts that a task holds at once
 PRIOR_HITS = 10.0  # documents that the factors below count as, against those of the sample
 QUOTED, REPORTED, ADDRESSED = 0.4, 0.6, 1.2
 # Fixed cue words of the context window.
@@ -290,6 +291,9 @@ def learn(labelled: DataFrame) -> ToxicityModel:
     """
     rows = labelled.select("text", "label").filter("text IS NOT NULL AND label IS NOT NULL")
 
+    def frame(seen: dict) -> pd.DataFrame:
+        return pd.DataFrame([(t, s, a, b) for (t, s), (a, b) in seen.items()], columns=["term", "stem", "clean", "toxic"])
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[tuple[str, bool], list[int]] = {}
         for batch in batches:
@@ -298,8 +302,10 @@ def learn(labelled: DataFrame) -> ToxicityModel:
                 keys = {(w, False) for w in own} | {(w[:k], True) for w in own for k in STEM if len(w) > k} | {("", True)}
                 for key in keys:
                     seen.setdefault(key, [0, 0])[int(label > 0)] += 1
-        if seen:
-            yield pd.DataFrame([(t, s, a, b) for (t, s), (a, b) in seen.items()], columns=["term", "stem", "clean", "toxic"])
+                if len(seen) > HELD:  # Spark adds the parts up
+                    yield frame(seen)
+                    seen = {}
+        yield frame(seen)
 
     counts = rows.mapInPandas(count, "term string, stem boolean, clean long, toxic long").groupBy("term", "stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).persist()
     total = counts.filter("term = ''").first()
