@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe, decontamination, minhash, pii, toxicity
-from sparkloom.llm.common import table, written
+from sparkloom.llm.common import removed, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOXIC = 0.3
@@ -19,7 +19,7 @@ TOXIC = 0.3
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below TOXIC; null and empty texts are clean."""
     model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model, keep=COLUMNS[:1] + COLUMNS[2:] + ["text"]).filter(F.col("toxicity") < TOXIC).select(*COLUMNS)
+    return toxicity.score_toxicity(docs, model, keep=COLUMNS).filter(F.col("toxicity") < TOXIC).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,6 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_no"))
     stay = named.groupBy("component_id").agg(first.alias("first")).select("first.row_no")
     gone = written(named.select("row_no").join(stay, "row_no", "left_anti"), "gone")
+    removed(named)
     return rows.join(gone, "row_no", "left_anti").select(*COLUMNS)
 
 
@@ -46,7 +47,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by its kind in brackets; n_chars is that of the new text."""
-    found = pii.find_pii(docs, pii.fitted(docs), keep=COLUMNS[:1] + COLUMNS[2:] + ["text"])
+    found = pii.find_pii(docs, pii.fitted(docs), keep=COLUMNS)
     hit = F.size("found") > 0
     clean = found.withColumn("masked", pii.masked(F.col("text"), F.col("found")))
     return clean.select("doc_id", F.col("masked").alias("text"), "lang", "source", F.when(hit, F.length("masked").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
