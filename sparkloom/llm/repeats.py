@@ -15,30 +15,64 @@ suffix array would, but only as deep as LENGTH and only where repeats can be:
    by the pair of a position's own bucket and the bucket that its later offset
    points to, and the refined buckets are used for the next, twice as deep
    round, until windows of LENGTH bytes are told apart.
+
+The same is done on words for passages that documents share: each word is a
+symbol of four bytes, and a passage has to be in two texts.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, table, written
-from .shingles import mix64
+from .common import map_texts, removed, small_side, table, written
+from .shingles import mix64, words
 
 LENGTH, GRAM = 400, 32
+#: Words of a passage, and bytes of the symbol that stands for a word: 50 words are 200 bytes of symbols.
+PASSAGE, SYMBOL = 50, 4
 #: Bytes that one refinement holds: positions and buckets then fit three times into 63 bits.
 BATCH = 1 << 21
-#: Distinct slices of an anchor that fit one refinement, however long.
-MOST_SLICES = BATCH // (2 * LENGTH) - 100
 _POSITION = (1 << 24) - 1
 
 
+class Unit(NamedTuple):
+    """What a passage is made of: how a text becomes bytes, its length in them, and whether it has to be in two texts."""
+
+    encode: Callable[[str], bytes]
+    length: int
+    across: bool
+    least_bytes: int  # of a text that may hold a passage
+
+    @property
+    def most_slices(self) -> int:
+        """Distinct slices of an anchor that fit one refinement, however long."""
+        return BATCH // (2 * self.length) - 100
+
+
+def utf8(text: str) -> bytes:
+    """The bytes of a text."""
+    return text.encode("utf-8", "surrogatepass")
+
+
+def word_symbols(text: str) -> bytes:
+    """A hash of SYMBOL bytes for each word of a text, lower-cased."""
+    found = words(text)
+    return np.fromiter((xxhash.xxh32_intdigest(w) for w in found), "<u4", len(found)).tobytes()
+
+
+BYTES = Unit(utf8, LENGTH, False, LENGTH)
+WORDS = Unit(word_symbols, PASSAGE * SYMBOL, True, 2 * PASSAGE - 1)
+
+
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """64-bit hashes of all GRAM-byte strings of a byte array, in place order."""
     n = len(data) - GRAM + 1
@@ -62,19 +96,19 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def slices(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def slices(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, text, start, windows) of the slices of a batch of texts, 16 MB in all at most."""
     lens = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     none = np.empty(0, np.int64)
-    if len(data) < LENGTH:
+    if len(data) < length:
         return none, none, none, none
     h = gram_hashes(data)
     placed = (h & ~np.uint64(_POSITION)) | np.arange(len(h), dtype=np.uint64)
-    at = (sliding_least(placed, LENGTH - GRAM + 1) & np.uint64(_POSITION)).astype(np.int64)
+    at = (sliding_least(placed, length - GRAM + 1) & np.uint64(_POSITION)).astype(np.int64)
     ends = np.cumsum(lens)
     owner = np.repeat(np.arange(len(texts)), lens)[: len(at)]
-    inside = np.arange(len(at)) + LENGTH <= ends[owner]
+    inside = np.arange(len(at)) + length <= ends[owner]
     first = inside.copy()
     first[1:] &= (at[1:] != at[:-1]) | ~inside[:-1] | (owner[1:] != owner[:-1])
     start = np.flatnonzero(first)
@@ -82,25 +116,25 @@ def slices(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return h[at[start]].view(np.int64), owner[start], start - (ends - lens)[owner[start]], count
 
 
-def _segments(text: bytes, most: int = 8 << 20) -> Iterator[tuple[int, bytes]]:
+def _segments(text: bytes, length: int, most: int = 8 << 20) -> Iterator[tuple[int, bytes]]:
     """A very long text in parts that overlap so that every window is in one part exactly."""
-    for a in range(0, max(1, len(text) - LENGTH + 1), most):
-        yield a, text[a : a + most + LENGTH - 1]
+    for a in range(0, max(1, len(text) - length + 1), most):
+        yield a, text[a : a + most + length - 1]
 
 
-def _emit_slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _emit_slices(batches: Iterator[pd.DataFrame], unit: Unit) -> Iterator[pd.DataFrame]:
     def flush(held):
-        anchor, owner, start, count = slices([t for *_, t in held])
+        anchor, owner, start, count = slices([t for *_, t in held], unit.length)
         offset = np.array([a for *_, a, _ in held], np.int64)
-        content = [xxhash.xxh3_128_digest(held[o][3][s : s + n + LENGTH - 1]) for o, s, n in zip(owner.tolist(), start.tolist(), count.tolist())]
+        content = [xxhash.xxh3_128_digest(held[o][3][s : s + n + unit.length - 1]) for o, s, n in zip(owner.tolist(), start.tolist(), count.tolist())]
         keys = [np.array([x[k] for x in held], np.int64)[owner] for k in (0, 1)]
         return pd.DataFrame({"anchor": anchor, "t1": keys[0], "t2": keys[1], "start": start + offset[owner], "windows": count, "content": content})
 
     for batch in batches:
         held, size = [], 0
         for t1, t2, text in zip(batch["t1"], batch["t2"], batch["text"]):
-            for a, part in _segments(text.encode("utf-8", "surrogatepass")):
-                if len(part) >= LENGTH:
+            for a, part in _segments(unit.encode(text), unit.length):
+                if len(part) >= unit.length:
                     held.append((t1, t2, a, part))
                     size += len(part)
                 if size > 1 << 20:
@@ -155,7 +189,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _repeated(batches: Iterator[pd.DataFrame], unit: Unit) -> Iterator[pd.DataFrame]:
     """Runs of repeated windows among slices that come sorted by anchor; whole anchors go into one refinement."""
 
     def flush(rows: pd.DataFrame) -> pd.DataFrame:
@@ -164,11 +198,18 @@ def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         begin = np.cumsum(lens) - lens
         owner = np.repeat(np.arange(len(parts)), counts)
         inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        number = refine(np.frombuffer(b"".join(parts), np.uint8), begin[owner] + inner).astype(np.int64)
-        twice = np.bincount(number)[number] > 1
+        number = refine(np.frombuffer(b"".join(parts), np.uint8), begin[owner] + inner, unit.length).astype(np.int64)
+        if unit.across:
+            # Of a bucket's windows those of one text count once, those of slices that two texts have count as two.
+            text = rows.groupby(["t1", "t2"]).ngroup().to_numpy()
+            single = rows["single"].to_numpy(bool)
+            pairs = np.unique(np.stack([number, np.where(single, text, -1)[owner]]), axis=1)
+            twice = np.bincount(pairs[0], np.where(pairs[1] < 0, 2, 1), len(number) and number.max() + 1)[number] > 1
+        else:
+            twice = np.bincount(number)[number] > 1
         out, at = [], 0
-        for t1, t2, start, n, single in zip(rows["t1"], rows["t2"], rows["start"], counts.tolist(), rows["single"]):
-            if single:
+        for t1, t2, start, n, one in zip(rows["t1"], rows["t2"], rows["start"], counts.tolist(), rows["single"]):
+            if one:
                 out += [(t1, t2, start + a, start + b) for a, b in _runs(twice[at : at + n])]
             at += n
         return pd.DataFrame(out, columns=["t1", "t2", "a", "b"]).astype("int64")
@@ -201,24 +242,49 @@ def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield flush(held.iloc[begin:done])
 
 
-def _window_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """128-bit name of every window of a slice, for anchors with too many slices for one task."""
+def named_buckets(data: np.ndarray, length: int) -> np.ndarray:
+    """Two 64-bit identifiers of the bucket of every window of `length` bytes.
+
+    The rounds are those of refine(): buckets of q-grams first, then the pair
+    of a position's own bucket and the bucket at a later offset, both as the
+    round before left them.  The new bucket's identifier is a hash of the pair,
+    so that buckets in different tasks have the same one and Spark can group
+    them; sorting in a task gives numbers that hold there alone.
+    """
+    first = gram_hashes(data)
+    bucket = np.stack([first, mix64(first ^ np.uint64(0x27D4EB2F165667C5))])
+    depth = GRAM
+    while depth < length:
+        step = min(depth, length - depth)
+        n = bucket.shape[1] - step
+        for lane, m in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
+            bucket[lane, :n] = mix64(bucket[lane, :n] * np.uint64(m) + bucket[lane, step:])
+        bucket, depth = bucket[:, :n], depth + step
+    return bucket.view(np.int64)
+
+
+def _window_names(batches: Iterator[pd.DataFrame], unit: Unit) -> Iterator[pd.DataFrame]:
+    """Bucket identifiers of the windows of slices whose anchors have more of them than fit one refinement."""
     for batch in batches:
         for at in range(0, len(batch), 200):
-            part = batch.iloc[at : at + 200]
-            rows = [(xxhash.xxh3_128_digest(p[i : i + LENGTH]), t1, t2, s + i, one) for p, t1, t2, s, n, one in zip(part["bytes"], part["t1"], part["t2"], part["start"], part["windows"], part["single"]) for i in range(n)]
-            yield pd.DataFrame(rows, columns=["name", "t1", "t2", "at", "single"])
+            rows = batch.iloc[at : at + 200]
+            found = [named_buckets(np.frombuffer(p, np.uint8), unit.length)[:, :n] for p, n in zip(rows["bytes"], rows["windows"])]
+            counts = rows["windows"].to_numpy()
+            inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            out = {c: np.repeat(rows[c].to_numpy(), counts) for c in ("t1", "t2", "single")}
+            both = np.concatenate(found, axis=1)
+            yield pd.DataFrame({"b1": both[0], "b2": both[1], **out, "at": np.repeat(rows["start"].to_numpy(), counts) + inner})
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _cut(batches: Iterator[pd.DataFrame], unit: Unit) -> Iterator[pd.DataFrame]:
     """The bytes of each wanted slice of a text."""
     for batch in batches:
         rows, size = [], 0
         for text, wanted, t1, t2 in zip(batch["text"], batch["wanted"], batch["t1"], batch["t2"]):
-            data = text.encode("utf-8", "surrogatepass")
+            data = unit.encode(text)
             for x in wanted:
-                rows.append((x["anchor"], t1, t2, x["start"], x["windows"], x["single"], x["crowded"], data[x["start"] : x["start"] + x["windows"] + LENGTH - 1]))
-                size += x["windows"] + LENGTH
+                rows.append((x["anchor"], t1, t2, x["start"], x["windows"], x["single"], x["crowded"], data[x["start"] : x["start"] + x["windows"] + unit.length - 1]))
+                size += x["windows"] + unit.length
             if size > 8 << 20:
                 yield pd.DataFrame(rows, columns=_CUT)
                 rows, size = [], 0
@@ -235,47 +301,72 @@ def keyed(df: DataFrame, text_col: str) -> DataFrame:
     return df.withColumn("text", text).withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit(1), "text"))
 
 
-def repeated_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(t1, t2, spans) of every distinct text with a byte to remove; spans are disjoint (start, end), in order."""
+def equal_texts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """(t1, t2, size) of the texts that several rows have, with their bytes."""
+    copies = keyed(df.select(text_col), text_col).groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("size"))
+    return written(copies.filter("n > 1").select("t1", "t2", F.col("size").cast("long").alias("size")), "copies")
+
+
+def repeated_spans(df: DataFrame, text_col: str = "text", unit: Unit = BYTES, copies: DataFrame | None = None) -> DataFrame:
+    """(t1, t2, spans) of every distinct text with a passage that repeats; spans are disjoint (start, end), in order.
+
+    Starts and ends are in the unit's bytes.  `copies` are equal_texts(), whole
+    spans of which are added; without, texts that are repeated only by equal
+    ones have none.
+    """
     texts = keyed(df.select(text_col), text_col).select("t1", "t2", "text")
-    places = texts.filter(F.octet_length("text") >= LENGTH).mapInPandas(_emit_slices, "anchor long, t1 long, t2 long, start int, windows int, content binary")
-    place = F.xxhash64("t1", "t2", "start")
+    emit = lambda it: _emit_slices(it, unit)
+    places = texts.filter(F.octet_length("text") >= unit.least_bytes).mapInPandas(emit, "anchor long, t1 long, t2 long, start int, windows int, content binary")
+    place = F.xxhash64("t1", "t2") if unit.across else F.xxhash64("t1", "t2", "start")
     found = written(places.withColumn("place", place), "slices")
     # A copy's slices are at the same places of the same text: equal texts count once here.
     apart = lambda key: found.groupBy(key).agg(F.min("place").alias("x"), F.max("place").alias("y")).filter("x <> y").select(key)
-    shared = written(found.join(small_side(written(apart("anchor"), "anchors")), "anchor", "left_semi").distinct(), "shared")
-    kinds = shared.groupBy("anchor", "content").agg(F.min("place").alias("x"), F.max("place").alias("y"), F.min(F.struct("t1", "t2", "start", "windows")).alias("r"))
-    kinds = written(kinds.select("anchor", "content", "r.*", F.expr("x = y").alias("single")), "kinds")
+    anchors = written(apart("anchor"), "anchors")
+    shared = written(found.join(small_side(anchors), "anchor", "left_semi").distinct(), "shared")
+    removed(found, anchors)
+    ends = (F.min("place").alias("x"), F.max("place").alias("y"))
+    if unit.across:  # a slice of one text only has all its places there looked at, one of several texts is found already
+        in_text = shared.groupBy("anchor", "content", "t1", "t2", "place").agg(F.sort_array(F.collect_list(F.struct("start", "windows"))).alias("own"))
+        kinds = in_text.groupBy("anchor", "content").agg(*ends, F.min(F.struct("t1", "t2", "own")).alias("r"))
+        kinds = kinds.select("anchor", "content", "r.t1", "r.t2", F.expr("x = y").alias("single"), F.expr("inline(if(x = y, r.own, slice(r.own, 1, 1)))"))
+    else:
+        kinds = shared.groupBy("anchor", "content").agg(*ends, F.min(F.struct("t1", "t2", "start", "windows")).alias("r"))
+        kinds = kinds.select("anchor", "content", "r.*", F.expr("x = y").alias("single"))
+    kinds = written(kinds, "kinds")
     whole = shared.join(kinds.filter("NOT single").select("anchor", "content"), ["anchor", "content"], "left_semi").select("t1", "t2", F.col("start").cast("long").alias("a"), (F.col("start") + F.col("windows")).cast("long").alias("b"))
 
-    open_ = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("single").alias("any")).filter("n > 1 AND any").select("anchor", F.expr(f"n > {MOST_SLICES}").alias("crowded"))
+    open_ = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("single").alias("any")).filter("n > 1 AND any").select("anchor", F.expr(f"n > {unit.most_slices}").alias("crowded"))
     wanted = kinds.join(open_, "anchor").groupBy("t1", "t2").agg(F.collect_list(F.struct("anchor", "start", "windows", "single", "crowded")).alias("wanted"))
     wanted = written(wanted, "wanted")
     one = texts.join(small_side(wanted.select("t1").distinct()), "t1", "left_semi").dropDuplicates(["t1", "t2"])
-    cut = one.join(wanted, ["t1", "t2"]).mapInPandas(_cut, "anchor long, t1 long, t2 long, start int, windows int, single boolean, crowded boolean, bytes binary")
+    cut = one.join(wanted, ["t1", "t2"]).mapInPandas(lambda it: _cut(it, unit), "anchor long, t1 long, t2 long, start int, windows int, single boolean, crowded boolean, bytes binary")
     cut = written(cut, "cut")
     sorted_ = cut.filter("NOT crowded").repartition("anchor").sortWithinPartitions("anchor")
-    part = sorted_.mapInPandas(_repeated, "t1 long, t2 long, a long, b long")
+    part = sorted_.mapInPandas(lambda it: _repeated(it, unit), "t1 long, t2 long, a long, b long")
     spans = whole.union(part)
     crowd = cut.filter("crowded")
     if not crowd.isEmpty():
-        names = written(crowd.mapInPandas(_window_names, "name binary, t1 long, t2 long, at int, single boolean"), "windows")
-        twice = names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        spans = spans.union(names.filter("single").join(twice, "name", "left_semi").select("t1", "t2", F.col("at").cast("long"), (F.col("at") + 1).cast("long")))
-    copies = keyed(df.select(text_col), text_col).filter(F.octet_length("text") >= LENGTH).groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("size")).filter("n > 1")
-    spans = spans.union(copies.select("t1", "t2", F.lit(0).cast("long"), (F.col("size") - (LENGTH - 1)).cast("long")))
+        names = written(crowd.mapInPandas(lambda it: _window_names(it, unit), "b1 long, b2 long, t1 long, t2 long, single boolean, at int"), "windows")
+        text = F.xxhash64("t1", "t2")
+        twice = (F.min(text) != F.max(text)) | ~F.min("single") if unit.across else F.count(F.lit(1)) > 1
+        twice = names.groupBy("b1", "b2").agg(twice.alias("twice")).filter("twice")
+        spans = spans.union(names.filter("single").join(twice, ["b1", "b2"], "left_semi").select("t1", "t2", F.col("at").cast("long"), (F.col("at") + 1).cast("long")))
+    if copies is not None:
+        spans = spans.union(copies.filter(F.col("size") >= unit.length).select("t1", "t2", F.lit(0).cast("long"), F.col("size") - (unit.length - 1)))
     by_text = spans.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("w"))
-    # Window starts [a, b) cover bytes [a, b + LENGTH - 1); touching stretches are one.
-    return by_text.mapInPandas(_merge, "t1 long, t2 long, spans array<struct<s:long,e:long>>")
+    # Window starts [a, b) cover bytes [a, b + length - 1); touching stretches are one.
+    spans = written(by_text.mapInPandas(lambda it: _merge(it, unit.length), "t1 long, t2 long, spans array<struct<s:long,e:long>>"), "spans")
+    removed(shared, kinds, wanted, cut)
+    return spans
 
 
-def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _merge(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for windows in batch["w"]:
             spans: list[list[int]] = []
             for x in windows:
-                a, b = x["a"], x["b"] + LENGTH - 1
+                a, b = x["a"], x["b"] + length - 1
                 if spans and a <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], b)
                 else:
@@ -284,41 +375,72 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["t1", "t2"]].assign(spans=pd.Series(out, index=batch.index, dtype=object))
 
 
-def remove_repeats(df: DataFrame, keep: list[str] | None = None, text_col: str = "text", with_bytes: bool = False) -> DataFrame:
-    """Columns `keep` (default doc_id), n_bytes, n_removed, n_spans, kept_sha256 and, on request, kept (binary).
+def shared_words(df: DataFrame, copies: DataFrame, text_col: str = "text") -> DataFrame:
+    """(t1, t2, n_shared, whole): how many words of a text are in passages of PASSAGE words that another text has too.
+
+    One row for each distinct text that has such words or, as `whole` says, is
+    itself another row's text.
+    """
+    spans = repeated_spans(df, text_col, WORDS)
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + F.greatest(F.lit(0).cast("long"), F.floor(x["e"] / SYMBOL) - F.ceil(x["s"] / SYMBOL)))
+    both = spans.select("t1", "t2", covered.alias("n"), F.lit(False).alias("w")).union(copies.select("t1", "t2", F.lit(0).cast("long"), F.lit(True)))
+    return written(both.groupBy("t1", "t2").agg(F.max("n").alias("n_shared"), F.max("w").alias("whole")), "shared-words")
+
+
+def _limited(spans: DataFrame, weight) -> DataFrame:
+    """Marked for broadcast if its weight, a Column that adds up, is at most 2,000,000; else left to be dealt by key."""
+    return F.broadcast(spans) if (spans.agg(F.sum(weight)).first()[0] or 0) <= 2_000_000 else spans
+
+
+def remove_repeats(df: DataFrame, keep: list[str] | None = None, text_col: str = "text", with_bytes: bool = False, with_words: bool = False) -> DataFrame:
+    """Columns `keep` (default doc_id), n_bytes, n_removed, n_spans, kept_sha256 and, on request, kept (binary) and n_shared_words.
 
     One row per input row.  Null and empty texts have no bytes; texts shorter
     than LENGTH keep all of theirs.  Rows with equal texts are each other's
     repeats, so all of them lose all bytes, the first one too.
+    n_shared_words counts the words in passages of PASSAGE words that another
+    row has too, wherever they stand; it takes no part in what is removed.  A
+    kept column with the name of a new one gives way.
     """
-    keep = keep or ["doc_id"]
-    spans = written(repeated_spans(df, text_col), "spans")
-    # What is broadcast is checked by its number of spans.
-    weight = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    rows = keyed(df.select(*keep, F.col(text_col).alias("__raw")), "__raw").drop("__raw")
-    joined = rows.join(small_side(spans) if weight <= 2_000_000 else spans, ["t1", "t2"], "left")
-    schema = df.select(*keep).withColumns({"n_bytes": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept_sha256": F.lit(""), **({"kept": F.lit(b"")} if with_bytes else {})}).schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text, own in zip(batch["text"], batch["spans"]):
-                data = text.encode("utf-8", "surrogatepass")
-                removed, at, parts, sha = 0, 0, [], hashlib.sha256()
-                for x in own if own is not None else ():
-                    parts.append(data[at : x["s"]])
-                    removed, at = removed + x["e"] - x["s"], x["e"]
-                parts.append(data[at:])
-                for p in parts:
-                    sha.update(p)
-                row = (len(data), removed, 0 if own is None else len(own), sha.hexdigest())
-                out.append((*row, b"".join(parts)) if with_bytes else row)
-            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 if with_bytes else 4]
-            yield pd.concat([batch[keep].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
-
-    return joined.select(*keep, "text", "spans").mapInPandas(run, schema)
+    new = {"n_bytes": ("long", pa.int64()), "n_removed": ("long", pa.int64()), "n_spans": ("long", pa.int64()), "kept_sha256": ("string", pa.string())} | ({"kept": ("binary", pa.binary())} if with_bytes else {})
+    new |= {"n_shared_words": ("long", pa.int64())} if with_words else {}
+    keep = [c for c in keep or ["doc_id"] if c not in new]
+    copies = equal_texts(df, text_col)
+    rows = keyed(df.select(F.struct(*keep).alias("own"), F.col(text_col).alias("text")), "text")
+    rows = rows.join(_limited(repeated_spans(df, text_col, BYTES, copies), F.size("spans")), ["t1", "t2"], "left")
+    if with_words:
+        rows = rows.join(_limited(shared_words(df, copies, text_col), F.lit(1)), ["t1", "t2"], "left")
+    else:
+        rows = rows.withColumns({"n_shared": F.lit(0).cast("long"), "whole": F.lit(False)})
+    rows = rows.select("own", F.struct("text", "spans", "n_shared", "whole").alias("both"))
+
+    def cut(both: list[dict]) -> list[list]:
+        out = []
+        for row in both:
+            data = utf8(row["text"])
+            taken, at, parts, sha = 0, 0, [], hashlib.sha256()
+            for x in row["spans"] or ():
+                parts.append(data[at : x["s"]])
+                taken, at = taken + x["e"] - x["s"], x["e"]
+            parts.append(data[at:])
+            for p in parts:
+                sha.update(p)
+            found = [len(data), taken, len(row["spans"] or ()), sha.hexdigest()]
+            if with_bytes:
+                found.append(b"".join(parts))
+            if with_words:
+                every = len(words(row["text"])) if row["whole"] else 0
+                found.append(every if every >= PASSAGE else row["n_shared"] or 0)
+            out.append(found)
+        return [list(x) for x in zip(*out)] if out else [[] for _ in new]
+
+    return map_texts(rows, "both", ["own"], new, lambda: cut).select("own.*", *new)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """Remove passages of 400 bytes that occur twice in all documents; see the contract's columns."""
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    """Remove passages of 400 bytes that occur twice in all documents; see the contract's columns.
+
+    n_shared_words follows them: words in passages of 50 words that another
+    document has too, of which short ones may have fewer than 400 bytes.
+    """
+    return remove_repeats(table(spark, sf_dir, "documents"), with_words=True)

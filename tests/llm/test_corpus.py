@@ -61,12 +61,36 @@ def repeat_texts():
 @pytest.mark.parametrize("crowded", [False, True])
 def test_repeats_match_brute_force(spark, monkeypatch, crowded):
     if crowded:
-        monkeypatch.setattr(repeats, "MOST_SLICES", 2)
+        monkeypatch.setattr(repeats.Unit, "most_slices", 2)
     texts = repeat_texts()
     got = {r.doc_id: tuple(r)[1:] for r in repeats.remove_repeats(frame(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, repeats.LENGTH)
 
 
+def brute_shared_words(texts):
+    """Words of each text in windows of 50 words that another row has too."""
+    own = [re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split() for t in texts]
+    seen = collections.defaultdict(set)
+    for k, w in enumerate(own):
+        for i in range(len(w) - 49):
+            seen[tuple(w[i : i + 50])].add(k)
+    return [len({j for i in range(len(w) - 49) if len(seen[tuple(w[i : i + 50])]) > 1 for j in range(i, i + 50)}) for w in own]
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_shared_words_match_brute_force(spark, monkeypatch, crowded):
+    if crowded:
+        monkeypatch.setattr(repeats.Unit, "most_slices", 2)
+    rng = random.Random(21)
+    passage = words(rng, 55)
+    texts = [f"{words(rng, rng.randrange(90))} {passage} {words(rng, rng.randrange(90))}" for _ in range(8)]
+    texts += [" ".join([words(rng, 60)] * 3), " ".join(["the same"] * 60), " ".join(["The Same"] * 40), passage.upper() + " x", words(rng, 200)] + [words(rng, 70)] * 3
+    own = passage + " " + words(rng, 30)  # twice in one text, and its start in others
+    texts += [own + " y " + own, words(rng, 49), *repeat_texts()[:6], *ODD[:4]]
+    got = {r.doc_id: r.n_shared_words for r in repeats.remove_repeats(frame(spark, texts), with_words=True).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_shared_words(texts)
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.remove_repeats(frame(spark, [])).count() == 0
     kept = repeats.remove_repeats(frame(spark, [None, "abc"], [None, 5]), with_bytes=True).collect()
