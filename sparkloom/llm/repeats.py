@@ -37,7 +37,7 @@ from .common import map_texts, removed, small_side, table, written
 from .shingles import mix64, words
 
 LENGTH, GRAM = 400, 32
-#: Words of a passage, and bytes of the symbol that stands for a word: 50 words are 200 bytes of symbols.
+#: Words of a passage, and bytes of the symbol that stands for a word.
 PASSAGE, SYMBOL = 50, 4
 #: Bytes that one refinement holds: positions and buckets then fit three times into 63 bits.
 BATCH = 1 << 21
@@ -45,17 +45,18 @@ _POSITION = (1 << 24) - 1
 
 
 class Unit(NamedTuple):
-    """What a passage is made of: how a text becomes bytes, its length in them, and whether it has to be in two texts."""
+    """What passages are made of: bytes, or words of SYMBOL bytes each.  Places and lengths are in units."""
 
     encode: Callable[[str], bytes]
     length: int
-    across: bool
+    width: int  # bytes of a unit
+    across: bool  # whether a passage has to be in two texts
     least_bytes: int  # of a text that may hold a passage
 
     @property
     def most_slices(self) -> int:
         """Distinct slices of an anchor that fit one refinement, however long."""
-        return BATCH // (2 * self.length) - 100
+        return BATCH // (2 * self.length * self.width) - 100
 
 
 def utf8(text: str) -> bytes:
@@ -69,8 +70,8 @@ def word_symbols(text: str) -> bytes:
     return np.fromiter((xxhash.xxh32_intdigest(w) for w in found), "<u4", len(found)).tobytes()
 
 
-BYTES = Unit(utf8, LENGTH, False, LENGTH)
-WORDS = Unit(word_symbols, PASSAGE * SYMBOL, True, 2 * PASSAGE - 1)
+BYTES = Unit(utf8, LENGTH, 1, False, LENGTH)
+WORDS = Unit(word_symbols, PASSAGE, SYMBOL, True, 2 * PASSAGE - 1)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -96,19 +97,19 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def slices(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def slices(texts: list[bytes], unit: Unit = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, text, start, windows) of the slices of a batch of texts, 16 MB in all at most."""
-    lens = np.array([len(t) for t in texts], np.int64)
+    lens = np.array([len(t) // unit.width for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     none = np.empty(0, np.int64)
-    if len(data) < length:
+    if len(data) < unit.length * unit.width:
         return none, none, none, none
-    h = gram_hashes(data)
+    h = gram_hashes(data)[:: unit.width]
     placed = (h & ~np.uint64(_POSITION)) | np.arange(len(h), dtype=np.uint64)
-    at = (sliding_least(placed, length - GRAM + 1) & np.uint64(_POSITION)).astype(np.int64)
+    at = (sliding_least(placed, unit.length - GRAM // unit.width + 1) & np.uint64(_POSITION)).astype(np.int64)
     ends = np.cumsum(lens)
     owner = np.repeat(np.arange(len(texts)), lens)[: len(at)]
-    inside = np.arange(len(at)) + length <= ends[owner]
+    inside = np.arange(len(at)) + unit.length <= ends[owner]
     first = inside.copy()
     first[1:] &= (at[1:] != at[:-1]) | ~inside[:-1] | (owner[1:] != owner[:-1])
     start = np.flatnonzero(first)
@@ -116,25 +117,30 @@ def slices(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.nda
     return h[at[start]].view(np.int64), owner[start], start - (ends - lens)[owner[start]], count
 
 
-def _segments(text: bytes, length: int, most: int = 8 << 20) -> Iterator[tuple[int, bytes]]:
+def _segments(text: bytes, unit: Unit, most: int = 8 << 20) -> Iterator[tuple[int, bytes]]:
     """A very long text in parts that overlap so that every window is in one part exactly."""
-    for a in range(0, max(1, len(text) - length + 1), most):
-        yield a, text[a : a + most + length - 1]
+    more = (unit.length - 1) * unit.width
+    for a in range(0, max(1, len(text) - more), most):
+        yield a // unit.width, text[a : a + most + more]
+
+
+def _bytes_of(data: bytes, start: int, windows: int, unit: Unit) -> bytes:
+    return data[start * unit.width : (start + windows + unit.length - 1) * unit.width]
 
 
 def _emit_slices(batches: Iterator[pd.DataFrame], unit: Unit) -> Iterator[pd.DataFrame]:
     def flush(held):
-        anchor, owner, start, count = slices([t for *_, t in held], unit.length)
+        anchor, owner, start, count = slices([t for *_, t in held], unit)
         offset = np.array([a for *_, a, _ in held], np.int64)
-        content = [xxhash.xxh3_128_digest(held[o][3][s : s + n + unit.length - 1]) for o, s, n in zip(owner.tolist(), start.tolist(), count.tolist())]
+        content = [xxhash.xxh3_128_digest(_bytes_of(held[o][3], s, n, unit)) for o, s, n in zip(owner.tolist(), start.tolist(), count.tolist())]
         keys = [np.array([x[k] for x in held], np.int64)[owner] for k in (0, 1)]
         return pd.DataFrame({"anchor": anchor, "t1": keys[0], "t2": keys[1], "start": start + offset[owner], "windows": count, "content": content})
 
     for batch in batches:
         held, size = [], 0
         for t1, t2, text in zip(batch["t1"], batch["t2"], batch["text"]):
-            for a, part in _segments(unit.encode(text), unit.length):
-                if len(part) >= unit.length:
+            for a, part in _segments(unit.encode(text), unit):
+                if len(part) >= unit.length * unit.width:
                     held.append((t1, t2, a, part))
                     size += len(part)
                 if size > 1 << 20:
@@ -145,24 +151,28 @@ def _emit_slices(batches: Iterator[pd.DataFrame], unit: Unit) -> Iterator[pd.Dat
 
 
 def refine(data: np.ndarray, windows: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Bucket number of every window (a start position in `data`); equal numbers mean equal strings of `length` bytes.
+    """Bucket number of every window (a start position in `data`); equal numbers mean equal strings of `length` units.
 
-    Buckets of two-byte strings are the start.  A round of depth m sorts
+    Buckets of two bytes, or of one word's symbol, are the start.  A round of depth m sorts
     positions by their bucket and the bucket at offset m, both of depth m,
     which are the updated buckets of the round before, and so doubles the
     depth.  A position alone in its bucket is apart from all others at any
     depth: it is sorted no more, and keeps a number of its own.  A position of
-    each round needs fewer than 2 ** 21 bytes of data.
+    each round needs fewer than 2 ** 21 units of data.
     """
     n = len(data)
     bits, low = np.uint64(21), np.uint64((1 << 21) - 1)
     if n > 1 << 21:
-        raise ValueError("more than 2 MB in one refinement")
-    padded = np.concatenate([data, np.zeros(length + 1, np.uint8)]).astype(np.uint64)
-    bucket = padded[:-1] * np.uint64(256) + padded[1:]
-    bucket[n:] = 0
+        raise ValueError("more than 2 ** 21 units in one refinement")
+    bucket = np.zeros(n + length + 1, np.uint64)
+    if data.dtype == np.uint8:
+        bucket[:n] = data
+        bucket[: n - 1] = bucket[: n - 1] * np.uint64(256) + bucket[1:n]
+        depth = 2
+    else:
+        bucket[:n] = np.unique(data, return_inverse=True)[1]
+        depth = 1
     active = np.arange(n, dtype=np.uint64)
-    depth = 2
     while depth < length and len(active):
         step = min(depth, length - depth)
         where = active.astype(np.int64)
@@ -184,35 +194,36 @@ def refine(data: np.ndarray, windows: np.ndarray, length: int = LENGTH) -> np.nd
     return bucket[windows]
 
 
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(np.r_[0, flags.astype(np.int8), 0]))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+def _runs(flags: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places of the runs of flags, within the windows of one row each."""
+    same = row[1:] == row[:-1]
+    before, after = np.zeros(len(flags), bool), np.zeros(len(flags), bool)
+    before[1:], after[:-1] = flags[:-1] & same, flags[1:] & same
+    return np.flatnonzero(flags & ~before), np.flatnonzero(flags & ~after)
 
 
 def _repeated(batches: Iterator[pd.DataFrame], unit: Unit) -> Iterator[pd.DataFrame]:
     """Runs of repeated windows among slices that come sorted by anchor; whole anchors go into one refinement."""
 
     def flush(rows: pd.DataFrame) -> pd.DataFrame:
-        parts, counts = rows["bytes"].tolist(), rows["windows"].to_numpy()
-        lens = np.array([len(p) for p in parts])
+        counts = rows["windows"].to_numpy()
+        lens = rows["bytes"].map(len).to_numpy() // unit.width
         begin = np.cumsum(lens) - lens
-        owner = np.repeat(np.arange(len(parts)), counts)
+        owner = np.repeat(np.arange(len(rows)), counts)
         inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        number = refine(np.frombuffer(b"".join(parts), np.uint8), begin[owner] + inner, unit.length).astype(np.int64)
+        data = np.frombuffer(b"".join(rows["bytes"]), np.uint8 if unit.width == 1 else "<u4")
+        number = refine(data, begin[owner] + inner, unit.length).astype(np.int64)
+        single = rows["single"].to_numpy(bool)
         if unit.across:
             # Of a bucket's windows those of one text count once, those of slices that two texts have count as two.
             text = rows.groupby(["t1", "t2"]).ngroup().to_numpy()
-            single = rows["single"].to_numpy(bool)
             pairs = np.unique(np.stack([number, np.where(single, text, -1)[owner]]), axis=1)
             twice = np.bincount(pairs[0], np.where(pairs[1] < 0, 2, 1), len(number) and number.max() + 1)[number] > 1
         else:
             twice = np.bincount(number)[number] > 1
-        out, at = [], 0
-        for t1, t2, start, n, one in zip(rows["t1"], rows["t2"], rows["start"], counts.tolist(), rows["single"]):
-            if one:
-                out += [(t1, t2, start + a, start + b) for a, b in _runs(twice[at : at + n])]
-            at += n
-        return pd.DataFrame(out, columns=["t1", "t2", "a", "b"]).astype("int64")
+        first, last = _runs(twice & single[owner], owner)
+        of, start = owner[first], rows["start"].to_numpy()
+        return pd.DataFrame({"t1": rows["t1"].to_numpy()[of], "t2": rows["t2"].to_numpy()[of], "a": start[of] + inner[first], "b": start[of] + inner[last] + 1}).astype("int64")
 
     held = None
     for batch in batches:
@@ -242,8 +253,8 @@ def _repeated(batches: Iterator[pd.DataFrame], unit: Unit) -> Iterator[pd.DataFr
         yield flush(held.iloc[begin:done])
 
 
-def named_buckets(data: np.ndarray, length: int) -> np.ndarray:
-    """Two 64-bit identifiers of the bucket of every window of `length` bytes.
+def named_buckets(data: np.ndarray, unit: Unit) -> np.ndarray:
+    """Two 64-bit identifiers of the bucket of every window of some bytes.
 
     The rounds are those of refine(): buckets of q-grams first, then the pair
     of a position's own bucket and the bucket at a later offset, both as the
@@ -251,11 +262,11 @@ def named_buckets(data: np.ndarray, length: int) -> np.ndarray:
     so that buckets in different tasks have the same one and Spark can group
     them; sorting in a task gives numbers that hold there alone.
     """
-    first = gram_hashes(data)
+    first = gram_hashes(data)[:: unit.width]
     bucket = np.stack([first, mix64(first ^ np.uint64(0x27D4EB2F165667C5))])
-    depth = GRAM
-    while depth < length:
-        step = min(depth, length - depth)
+    depth = GRAM // unit.width
+    while depth < unit.length:
+        step = min(depth, unit.length - depth)
         n = bucket.shape[1] - step
         for lane, m in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
             bucket[lane, :n] = mix64(bucket[lane, :n] * np.uint64(m) + bucket[lane, step:])
@@ -268,7 +279,7 @@ def _window_names(batches: Iterator[pd.DataFrame], unit: Unit) -> Iterator[pd.Da
     for batch in batches:
         for at in range(0, len(batch), 200):
             rows = batch.iloc[at : at + 200]
-            found = [named_buckets(np.frombuffer(p, np.uint8), unit.length)[:, :n] for p, n in zip(rows["bytes"], rows["windows"])]
+            found = [named_buckets(np.frombuffer(p, np.uint8), unit)[:, :n] for p, n in zip(rows["bytes"], rows["windows"])]
             counts = rows["windows"].to_numpy()
             inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             out = {c: np.repeat(rows[c].to_numpy(), counts) for c in ("t1", "t2", "single")}
@@ -283,8 +294,8 @@ def _cut(batches: Iterator[pd.DataFrame], unit: Unit) -> Iterator[pd.DataFrame]:
         for text, wanted, t1, t2 in zip(batch["text"], batch["wanted"], batch["t1"], batch["t2"]):
             data = unit.encode(text)
             for x in wanted:
-                rows.append((x["anchor"], t1, t2, x["start"], x["windows"], x["single"], x["crowded"], data[x["start"] : x["start"] + x["windows"] + unit.length - 1]))
-                size += x["windows"] + unit.length
+                rows.append((x["anchor"], t1, t2, x["start"], x["windows"], x["single"], x["crowded"], _bytes_of(data, x["start"], x["windows"], unit)))
+                size += (x["windows"] + unit.length) * unit.width
             if size > 8 << 20:
                 yield pd.DataFrame(rows, columns=_CUT)
                 rows, size = [], 0
@@ -310,7 +321,7 @@ def equal_texts(df: DataFrame, text_col: str = "text") -> DataFrame:
 def repeated_spans(df: DataFrame, text_col: str = "text", unit: Unit = BYTES, copies: DataFrame | None = None) -> DataFrame:
     """(t1, t2, spans) of every distinct text with a passage that repeats; spans are disjoint (start, end), in order.
 
-    Starts and ends are in the unit's bytes.  `copies` are equal_texts(), whole
+    Starts and ends are in units.  `copies` are equal_texts(), whole
     spans of which are added; without, texts that are repeated only by equal
     ones have none.
     """
@@ -354,7 +365,7 @@ def repeated_spans(df: DataFrame, text_col: str = "text", unit: Unit = BYTES, co
     if copies is not None:
         spans = spans.union(copies.filter(F.col("size") >= unit.length).select("t1", "t2", F.lit(0).cast("long"), F.col("size") - (unit.length - 1)))
     by_text = spans.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("w"))
-    # Window starts [a, b) cover bytes [a, b + length - 1); touching stretches are one.
+    # Window starts [a, b) cover units [a, b + length - 1); touching stretches are one.
     spans = written(by_text.mapInPandas(lambda it: _merge(it, unit.length), "t1 long, t2 long, spans array<struct<s:long,e:long>>"), "spans")
     removed(shared, kinds, wanted, cut)
     return spans
@@ -382,7 +393,7 @@ def shared_words(df: DataFrame, copies: DataFrame, text_col: str = "text") -> Da
     itself another row's text.
     """
     spans = repeated_spans(df, text_col, WORDS)
-    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + F.greatest(F.lit(0).cast("long"), F.floor(x["e"] / SYMBOL) - F.ceil(x["s"] / SYMBOL)))
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
     both = spans.select("t1", "t2", covered.alias("n"), F.lit(False).alias("w")).union(copies.select("t1", "t2", F.lit(0).cast("long"), F.lit(True)))
     return written(both.groupBy("t1", "t2").agg(F.max("n").alias("n_shared"), F.max("w").alias("whole")), "shared-words")
 
