@@ -304,6 +304,27 @@ def test_quality_learns_and_keeps_every_row(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
 
 
+def test_frequent_words_have_vectors_of_their_own(spark):
+    rng = random.Random(31)
+    texts = [f"{rng.choice(['red', 'blue'])} bird sings, {rng.choice(['old', 'young'])} fish swims" for _ in range(200)] + [None, "", "rare1 rare2", "x" * 200_000 + " bird"]
+    docs = frame(spark, texts)
+    own = quality.vocabulary(docs, 9)
+    assert len(own) == 9 and {"bird", "sings", ",", "fish", "swims"} <= own.keys() and not own.keys() & {"rare1", "rare2"}
+    vectors = quality.word_vectors(docs, own)
+    place, sign = quality.index_vectors()
+    index = np.zeros((quality.ALL, quality.DIM))
+    np.put_along_axis(index, place, sign, 1)
+    want, rows = np.zeros((quality.ALL, quality.DIM)), quality._Rows(own)
+    for t in texts:
+        at = [rows[w] for w in quality.tokens(t)]
+        for i, w in enumerate(at):
+            for j in range(max(0, i - 2), min(len(at), i + 3)):
+                want[w] += index[at[j]] * (i != j)
+    want /= np.maximum(1e-6, np.linalg.norm(want, axis=1, keepdims=True))
+    assert np.allclose(vectors, want, atol=1e-6)
+    assert abs(vectors[own["red"]] @ vectors[own["blue"]]) > 0.5 > abs(vectors[own["red"]] @ vectors[own["swims"]])
+
+
 def test_quality_of_odd_rows(spark):
     docs, labels = frame(spark, ODD, [None, 1, 2, 3, 4, 5, 5, 7]), spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
     out = quality.score_quality(docs, quality.fitted(docs, labels)).collect()
