@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregates, collections, relational, scalars, session_info, sql_surface, udfs, windows
+from . import aggregates, collections, more, relational, scalars, session_info, sql_surface, tables, udfs, windows
 
-MODULES = (relational, scalars, aggregates, windows, collections, sql_surface, session_info, udfs)
+MODULES = (relational, scalars, aggregates, windows, collections, sql_surface, session_info, udfs, tables, more)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

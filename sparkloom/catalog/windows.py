@@ -60,9 +60,20 @@ def window_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, count(*) OVER (PARTITION BY c_nationkey) AS n, round(c_acctbal / sum(c_acctbal) OVER (PARTITION BY c_nationkey), 6) AS share FROM customer")
 def window_unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole-partition aggregates and a ratio to them."""
-    w = Window.partitionBy("c_nationkey")
-    return read(spark, sf_dir, "customer").select("c_custkey", F.count(F.lit(1)).over(w).alias("n"), F.round(F.col("c_acctbal") / F.sum("c_acctbal").over(w), 6).alias("share"))
+    """Whole-partition aggregates and a ratio to them, as an aggregation and a join.
+
+    A window would deal a nation's rows to one task; there are only a few nations.
+    """
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    sums = rows.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.sum("c_acctbal").alias("total"))
+    same = rows.c_nationkey.eqNullSafe(sums.c_nationkey)
+    return rows.join(sums, same).select("c_custkey", "n", F.round(F.col("c_acctbal") / F.col("total"), 6).alias("share"))
+
+
+@query("SELECT s_suppkey, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier")
+def window_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a window without an order."""
+    return read(spark, sf_dir, "supplier").select("s_suppkey", F.count(F.lit(1)).over(Window.partitionBy("s_nationkey")).alias("n"))
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 2")

@@ -18,7 +18,10 @@ def columns_like(df: DataFrame, pattern: str) -> list[str]:
 
 
 def check_cross_budget(left: DataFrame, right: DataFrame, budget: int = CROSS_BUDGET) -> None:
-    """Refuse a pair of inputs whose row product is over the budget; counts stop as soon as that is known."""
+    """Refuse a pair of inputs whose row product is over the budget; counts stop as soon as that is known.
+
+    The optimizer's sizes can't tell: files hold rows of less than a byte.
+    """
     n = left.limit(budget + 1).count()
     m = right.limit(budget // max(n, 1) + 1).count() if n <= budget else budget + 1
     if n * m > budget:
@@ -37,6 +40,36 @@ def theta_join(left: DataFrame, right: DataFrame, condition: Column, how: str =
     return left.join(right, condition, how)
 
 
+def bytes_of(df: DataFrame) -> int:
+    """The size that the optimizer expects of a frame, from file sizes and statistics; nothing is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def broadcast_within(df: DataFrame, most_bytes: int = 64 << 20, most_rows: int = 1_000_000) -> DataFrame:
+    """Mark a side for broadcast if it is expected to be small and has few rows; else leave it to be dealt by key.
+
+    Files may be far smaller than their rows, so these are counted too, up to the bound.
+    """
+    if bytes_of(df) <= most_bytes and df.limit(most_rows + 1).count() <= most_rows:
+        return F.broadcast(df)
+    return df
+
+
+def join_typed(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join on a key whose types differ; both become text if one is, else the wider number.
+
+    Text that differs from a number only in how it is written (leading zeros,
+    spaces) is not equal to it.
+    """
+    a, b = left.schema[key].dataType, right.schema[key].dataType
+    if a != b:
+        order = ["tinyint", "smallint", "int", "bigint", "float", "double"]
+        kinds = {a.simpleString(), b.simpleString()}
+        to = max(kinds, key=order.index) if kinds <= set(order) else "string"
+        left, right = (df.withColumn(key, F.col(key).cast(to)) for df in (left, right))
+    return left.join(right, key, how)
+
+
 def join_with_keys(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str], how: str = "inner", suffix: str = "_right") -> DataFrame:
     """Equi join on keys of different names; other names on both sides get a suffix on the right."""
     taken, names = set(left.columns), {}
@@ -88,17 +121,37 @@ def correlations(df: DataFrame) -> DataFrame:
     return one.select(F.inline(F.array(*rows)))
 
 
-def exact_quantiles(df: DataFrame, column: str, probabilities: list[float]) -> DataFrame:
-    """(p, value): interpolated quantiles.  Exact, so its state grows with the distinct values; see approxQuantile for sketches."""
-    one = df.agg(F.percentile(column, probabilities).alias("v"))
-    return one.select(F.inline(F.array(*[F.struct(F.lit(p).alias("p"), F.get("v", F.lit(k)).alias("value")) for k, p in enumerate(probabilities)])))
+def exact_quantiles(df: DataFrame, column: str, probabilities: list[float], parts: int = 64) -> DataFrame:
+    """(p, value): exact interpolated quantiles of the values that aren't null; null values where there are none.
+
+    Values are counted first.  A sketch gives bounds of about equal parts; ranks
+    are running sums within a part plus what the parts before it hold, so no
+    task sorts more than its part and no state grows with the distinct values.
+    """
+    values = df.select(F.col(column).cast("double").alias("value")).filter("value IS NOT NULL")
+    bounds = values.agg(F.percentile_approx("value", [k / parts for k in range(1, parts)], 10_000)).first()[0] or []
+    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))).cast("array<double>"), lambda b: b < F.col("value")))
+    counts = values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).withColumn("part", part)
+    sizes = counts.groupBy("part").agg(F.sum("n").alias("m"))
+    # One row a part: at most `parts` of them.
+    before = sizes.select("part", F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("skip"), F.sum("m").over(Window.partitionBy()).alias("total"))
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("value"))
+    ranked = counts.withColumn("upto", upto).join(F.broadcast(before), "part").withColumn("last", F.col("skip") + F.col("upto") - 1).withColumn("first", F.col("last") - F.col("n") + 1)
+    wanted = F.explode(F.array(*map(F.lit, probabilities))).alias("p")
+    at = ranked.select("value", "first", "last", "total", wanted).withColumn("at", F.col("p") * (F.col("total") - 1))
+    near = at.filter("first <= ceil(at) AND last >= floor(at)")
+    low = F.max(F.when(F.expr("floor(at) BETWEEN first AND last"), F.col("value")))
+    high = F.max(F.when(F.expr("ceil(at) BETWEEN first AND last"), F.col("value")))
+    found = near.groupBy("p").agg((low + (high - low) * F.max(F.expr("at - floor(at)"))).alias("value"))
+    asked = df.sparkSession.createDataFrame([(p,) for p in probabilities], "p double")
+    return asked.join(found, "p", "left")
 
 
 def frequent(df: DataFrame, column: str, support: float) -> DataFrame:
     """Values with at least a share `support` of all rows, exactly; at most 1 / support rows."""
+    total = df.count()
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(total).filter(F.col("n") >= support * F.col("total")).select("value")
+    return counts.filter(F.col("n") >= support * total).select("value")
 
 
 def describe_rounded(df: DataFrame, *columns: str, digits: int = 1) -> DataFrame:
@@ -110,6 +163,34 @@ def describe_rounded(df: DataFrame, *columns: str, digits: int = 1) -> DataFrame
 
 
 def sample_exact(df: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """Exactly round(n * fraction) rows, by the least random numbers."""
+    """Exactly round(n * fraction) rows, by the least hashes of a row with the seed, repeated rows in any order.
+
+    The hash at the wanted rank is found by narrowing its range in counting
+    passes, so nothing is sorted; rows below it are taken as they are read, and
+    only rows of that one hash are limited.
+    """
     n = round(df.count() * fraction)
-    return df.withColumn("__r", F.rand(seed)).orderBy("__r").limit(n).drop("__r")
+    rows = df.withColumn("__h", F.xxhash64(F.lit(seed), *df.columns))
+    low, high = -(1 << 63), 1 << 63  # the rank lies in [low, high)
+    taken = 0
+    while n and high - low > 1:
+        step = max(1, (high - low) // 256)
+        part = F.floor((F.col("__h").cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")) / F.lit(step).cast("decimal(38,0)")).alias("k")
+        inside = F.col("__h").cast("decimal(38,0)").between(F.lit(low).cast("decimal(38,0)"), F.lit(high - 1).cast("decimal(38,0)"))
+        counts = sorted((int(r["k"]), r["count"]) for r in rows.filter(inside).groupBy(part).count().collect())
+        if not counts:
+            break
+        k = counts[-1][0]
+        for k, m in counts:
+            if taken + m >= n:
+                break
+            taken += m
+        low, high = low + k * step, min(high, low + (k + 1) * step)
+        if m == n - taken or m <= 10_000:
+            break
+    if not n:
+        return df.limit(0)
+    at = F.col("__h").cast("decimal(38,0)")
+    sure = rows.filter(at < F.lit(low).cast("decimal(38,0)"))
+    rest = rows.filter(at.between(F.lit(low).cast("decimal(38,0)"), F.lit(high - 1).cast("decimal(38,0)"))).orderBy("__h").limit(n - taken)
+    return sure.union(rest).drop("__h")

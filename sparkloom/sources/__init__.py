@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
@@ -73,6 +75,26 @@ class Files:
         (writer.partitionBy(*partition_by) if partition_by else writer).format(kind).save(confine(path, self.base))
 
 
+def working_folder(spark: SparkSession) -> str:
+    """The folder for files that all executors share, from spark.checkpoint.dir.
+
+    Where it is unset, a session within one process gets a temporary folder; on
+    a cluster that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sparkloom-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def single_column(spark: SparkSession, values: Iterable, kind: str) -> DataFrame:
+    """One column called value; values are wrapped, so strings, numbers and nulls may come from any iterable."""
+    return spark.createDataFrame([(v,) for v in values], f"value {kind}")
+
+
 def capped_range(spark: SparkSession, start: int, end: int, step: int = 1, cap: int = RANGE_CAP) -> DataFrame:
     """spark.range with a cap on its rows."""
     if len(range(start, end, step)) > cap:

@@ -1,5 +1,11 @@
 """Frame operators, functions, sources, plans, streaming, sessions, comparison."""
 
+import os
+import random
+import shutil
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,13 +205,21 @@ def test_udfs(spark):
     assert rows(mean) == [(0, 2.0), (1, 3.0)]
 
 
-def test_entry_imports_without_the_corpus(spark, sf_dir):
+def test_entry_has_sql_only_for_its_queries(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_entry_imports_without_the_corpus(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/sparkloom", tmp_path / "sparkloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; n = e.queries(); assert len(n) > 150 and 'pipeline' not in n and not [k for k in n if k.startswith('op')], n; assert set(e.oracle_sql()) <= set(n)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
 def test_entry_imports_without_a_session():
     import os
     import subprocess
@@ -238,3 +252,58 @@ def test_errors_are_raised(spark):
         spark.range(1).select(F.assert_true(F.lit(False), "not so")).collect()
     with pytest.raises(Exception, match="UNRESOLVED_COLUMN"):
         spark.range(1).filter("missing > 1").collect()
+
+
+def test_exact_quantiles_of_skewed_and_empty_columns(spark):
+    rng = random.Random(3)
+    values = [1.0] * 500 + [rng.gauss(0, 1) for _ in range(777)] + [None] * 9
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = {r.p: r.value for r in frame.exact_quantiles(df, "v", [0.0, 0.1, 0.33, 0.5, 0.999, 1.0]).collect()}
+    known = sorted(v for v in values if v is not None)
+    for p, v in got.items():
+        at = p * (len(known) - 1)
+        low, high = known[int(at)], known[min(len(known) - 1, int(at) + 1)]
+        assert v == pytest.approx(low + (high - low) * (at - int(at)))
+    assert {r.value for r in frame.exact_quantiles(df.filter("v IS NULL"), "v", [0.5]).collect()} == {None}
+
+
+@pytest.mark.parametrize("rows,share", [(1000, 0.3), (7, 1.0), (50, 0.0)])
+def test_exact_samples_have_their_size(spark, rows, share):
+    df = spark.createDataFrame([(k, k % 3) for k in range(rows)] + [(-1, 0)] * 200, "a int, b int")
+    got = frame.sample_exact(df, share, 5).collect()
+    assert len(got) == round((rows + 200) * share)
+    assert sorted(got) == sorted(frame.sample_exact(df.repartition(7), share, 5).collect())
+
+
+def test_broadcasts_are_checked(spark):
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    df = spark.range(1000)
+    assert "broadcast" in plan(frame.broadcast_within(df)) and "broadcast" not in plan(frame.broadcast_within(df, most_rows=10)) + plan(frame.broadcast_within(df, most_bytes=10))
+
+
+def test_join_of_key_types(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z")], "k int, p string"), spark.createDataFrame([("1", "u"), ("02", "v"), (None, "w")], "k string, q string")
+    assert [tuple(r) for r in frame.join_typed(a, b, "k").collect()] == [("1", "x", "u")]
+    assert frame.join_typed(a, b.select(F.expr("try_cast(k AS bigint)").alias("k"), "q"), "k").schema["k"].dataType.simpleString() == "bigint"
+
+
+def test_unknown_forms_are_refused(spark):
+    a = spark.range(2)
+    with pytest.raises(Exception, match="(?i)join type"):
+        a.join(a.withColumnRenamed("id", "other"), F.col("id") == F.col("other"), "sideways").collect()
+    with pytest.raises(Exception, match="wrong"):
+        a.select(F.raise_error(F.lit("wrong"))).collect()
+
+
+def test_working_folder_needs_the_setting_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        conf, sparkContext = type("Conf", (), {"get": staticmethod(lambda key, default: default)}), Context()  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        sources.working_folder(Session())
