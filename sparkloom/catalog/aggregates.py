@@ -38,7 +38,8 @@ _grouped("agg_distinct", "orders", ["o_orderstatus"], [
     ("cd", "count(DISTINCT o_custkey)"), ("cd2", "count(DISTINCT o_custkey, o_orderpriority)", "count(DISTINCT (o_custkey, o_orderpriority))"), ("sd", "sum(DISTINCT o_custkey)", "cast(sum(DISTINCT o_custkey) as bigint)"),
     ("cs", "size(collect_set(o_orderpriority))", "cast(len(list(DISTINCT o_orderpriority)) as int)"), ("set_", "array_join(sort_array(collect_set(o_orderpriority)), ',')", "array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',')"),
 ])
-_grouped("agg_by_order", "orders", ["o_orderpriority"], [
+# Lists are of small groups: a customer's orders.
+_grouped("agg_by_order", "orders", ["o_custkey"], [
     ("mxb", "max_by(o_orderkey, struct(o_totalprice, o_orderkey))", "arg_max(o_orderkey, (o_totalprice, o_orderkey))"), ("mnb", "min_by(o_orderkey, struct(o_totalprice, o_orderkey))", "arg_min(o_orderkey, (o_totalprice, o_orderkey))"),
     ("mode_", "mode(o_custkey % 3 + o_orderkey * 0)", "mode(o_custkey % 3 + o_orderkey * 0)"), ("lst", "size(collect_list(o_orderkey))", "cast(len(list(o_orderkey)) as int)"), ("lst_", "array_join(slice(sort_array(collect_list(o_orderkey)), 1, 3), ',')", "array_to_string(list_sort(list(o_orderkey))[1:3], ',')"),
     ("agg_", "array_max(array_agg(o_orderkey))", "max(o_orderkey)"), ("la", "array_join(array_sort(transform(array_distinct(collect_list(o_orderstatus)), x -> lower(x))), '')", "array_to_string(list_sort(list(DISTINCT lower(o_orderstatus))), '')"),
