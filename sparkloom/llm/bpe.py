@@ -31,6 +31,9 @@ LATER_LETTERS = """0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7DD A
     18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81
     1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F
     2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"""
+FIRST_LATER = "\u0558"
+# The split pattern whose pieces hold no white space.
+WITHOUT_BLANKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LATER_CAPITALS = "A7DD A7E2 AB6C-AB6D 1DF1F-1DFFF"
 
 
@@ -59,7 +62,7 @@ def _later_capitals() -> dict[int, str]:
 class _Pieces(dict):
     """piece -> (ids, tokens), each joined by a space; when it grows too large, only the pieces of the batch at hand stay."""
 
-    LIMIT = 60_000
+    LIMIT = 120_000
 
     def __init__(self, bpe: SegmentTreeBPE):
         super().__init__()
@@ -70,8 +73,8 @@ class _Pieces(dict):
 
     def learn(self, texts: list[list[str]]) -> None:
         """Encode the new pieces of a batch together."""
-        met = {w for own in texts for w in own if len(w) <= 64}
-        new = list(met - self.keys())
+        met = set().union(*texts)
+        new = [w for w in met - self.keys() if len(w) <= 64]
         if len(self) + len(new) > self.LIMIT:
             stay = {w: self[w] for w in met & self.keys()}
             self.clear()
@@ -100,6 +103,8 @@ class SegmentTreeBPE:
         replace = data["normalizer"]["normalizers"][1]
         split = data["pre_tokenizer"]["pretokenizers"][0]
         self.blank, self.blank_to = regex.compile(replace["pattern"]["Regex"]), replace["content"]
+        if (replace["pattern"]["Regex"], replace["content"]) == (r"\s+", " ") and split["pattern"]["Regex"] == WITHOUT_BLANKS:
+            self.blank = None  # no piece has white space in it, so it makes no difference which
         self.pieces = regex.compile(split["pattern"]["Regex"])
         # The same pattern for texts with letters that the library does not take for letters.
         later = _char_class(LATER_LETTERS)
@@ -262,11 +267,15 @@ class SegmentTreeBPE:
     def _pieces(self, text: str) -> list[str]:
         """Pieces of a text without special tokens."""
         # Each character is lowered by itself, so a final sigma is like any other.
-        plain = self.blank.sub(self.blank_to, unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
-        if not plain.isascii() and max(plain) >= "\u1c89":  # below it Python knows every capital
+        plain = unicodedata.normalize("NFC", text)
+        if self.blank:
+            plain = self.blank.sub(self.blank_to, plain)
+        plain = plain.replace("Σ", "σ").lower()
+        highest = "" if plain.isascii() else max(plain)
+        if highest >= "\u1c89":  # below it Python knows every capital
             plain = plain.translate(self.later_capitals)
-        known = plain.isascii() or not self.later_at.search(plain)
-        return (self.pieces if known else self.strict_pieces).findall(plain)
+        strict = highest >= FIRST_LATER and self.later_at.search(plain)
+        return (self.strict_pieces if strict else self.pieces).findall(plain)
 
     def joined_batch(self, texts: list[str | None]) -> list[tuple[str, str]]:
         """For each whole text its decimal ids joined by a space, and the text that they decode to."""
@@ -325,8 +334,7 @@ def encode_documents(df: DataFrame, path: str | None = None, id_col: str = "doc_
         new |= {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())}
 
     def begin():
-        bpe = shared.value
-        bpe.cache.clear()
+        bpe = shared.value  # a worker's tasks share it and its cache, which is bounded
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "replace")).hexdigest()
 
         def encode(texts: list[str | None]) -> list[list]:
