@@ -65,7 +65,8 @@ text("sql_interval", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERV
 text("sql_lateral", "SELECT n.n_nationkey, t.v FROM {nation} n, LATERAL (SELECT n.n_regionkey * 2 AS v) t")
 text("sql_values", "SELECT a, b FROM (VALUES (1, 'x'), (2, 'y')) AS t(a, b)")
 text("sql_pivot", "SELECT * FROM (SELECT o_orderpriority, o_orderstatus, o_orderkey FROM {orders}) PIVOT (count(o_orderkey) FOR o_orderstatus IN ('F' AS f, 'O' AS o))", "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o FROM {orders} GROUP BY 1")
-text("sql_tpch_q10", "SELECT c_custkey, c_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {customer} JOIN {orders} ON c_custkey = o_custkey JOIN {lineitem} ON l_orderkey = o_orderkey JOIN {nation} ON c_nationkey = n_nationkey WHERE l_returnflag = 'R' GROUP BY c_custkey, c_name, n_name")
+# Whole cents and hundredths add up exactly, in whatever order.
+text("sql_tpch_q10", "SELECT c_custkey, c_name, n_name, cast(sum(cast(round(l_extendedprice * 100) AS bigint) * cast(round((1 - l_discount) * 100) AS bigint)) AS double) / 10000 AS revenue FROM {customer} JOIN {orders} ON c_custkey = o_custkey JOIN {lineitem} ON l_orderkey = o_orderkey JOIN {nation} ON c_nationkey = n_nationkey WHERE l_returnflag = 'R' GROUP BY c_custkey, c_name, n_name")
 text("sql_tpch_q12", "SELECT l_linestatus, sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS high, sum(CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS low FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY l_linestatus", "SELECT l_linestatus, cast(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS bigint) AS high, cast(sum(CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS bigint) AS low FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY l_linestatus")
 text("sql_tpch_q14", "SELECT round(100.0D * sum(CASE WHEN p_type LIKE 'PROMO%' THEN l_extendedprice * (1 - l_discount) ELSE 0D END) / sum(l_extendedprice * (1 - l_discount)), 4) AS promo FROM {lineitem} JOIN {part} ON l_partkey = p_partkey", "SELECT round(100.0::DOUBLE * sum(CASE WHEN p_type LIKE 'PROMO%' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 4) AS promo FROM {lineitem} JOIN {part} ON l_partkey = p_partkey")
 text("sql_tpch_q18", "SELECT o_orderkey, o_totalprice, round(sum(l_quantity), 2) AS q FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE o_orderkey IN (SELECT l_orderkey FROM {lineitem} GROUP BY l_orderkey HAVING sum(l_quantity) > 180) GROUP BY o_orderkey, o_totalprice")
