@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import map_texts, spread, table
 
 _NONE = 1 << 62
 _WIDE = 1 << 24
@@ -350,4 +350,4 @@ def encode_documents(df: DataFrame, path: str | None = None, id_col: str = "doc_
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:
     """Encode and decode every document with the 49k word BPE."""
-    return encode_documents(table(spark, sf_dir, "documents"))
+    return encode_documents(spread(table(spark, sf_dir, "documents")))

@@ -21,6 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that has fewer partitions than the session has cores, dealt evenly over these; any other as it is.
+
+    A small file may be one row group, which one task would read and work on
+    alone.  Work on texts in Python costs far more than moving them.  For
+    scans only: of a frame with shuffles the count would run them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from spark.checkpoint.dir or the context's checkpoint folder.
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField
 
-from .common import map_texts, removed, table, written
+from .common import map_texts, removed, spread, table, written
 from .shingles import _MUL, mix64
 
 _WORD = re.compile(r"[^\W_]+")
@@ -192,6 +192,6 @@ def _pass(frame: DataFrame, keep: list[str], kind: StructField, own: list[tuple]
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
     """A row for each document that holds a benchmark item within its error budget, and each such item."""
-    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = find_leaks(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
     hit = found.select("doc_id", F.explode("leaks").alias("x"))
     return hit.select("doc_id", "x.item_id", "x.distance", F.col("x.start").alias("start_word"), F.col("x.end").alias("end_word"))

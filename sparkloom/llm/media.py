@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import spread, table, written
 
 SIZE, HOP, SPAN = 1024, 256, 16  # samples of a frame, step between frames, frames that a fingerprint covers
 LOW_HZ, HIGH_HZ = 100.0, 1900.0
@@ -257,5 +257,5 @@ def render(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
 
 def op6_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint all recordings made of `embeddings` and align every one whose id is divisible by 100 with all."""
-    prints = fingerprints(render(table(spark, sf_dir, "embeddings")), "id", "audio")
+    prints = fingerprints(render(spread(table(spark, sf_dir, "embeddings"))), "id", "audio")
     return align(prints, F.col("id") % 100 == 0).withColumnRenamed("id", "vec_id")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, removed, small_side, table, written
+from .common import map_texts, removed, small_side, spread, table, written
 from .components import connected_components
 from .shingles import WordHashes, fast_similarity_sketch, shingle_set
 
@@ -248,4 +248,4 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op8_minhash(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents; see the contract's columns."""
-    return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return near_duplicates(spread(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")

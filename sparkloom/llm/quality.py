@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PART_ROWS, map_texts, removed, table, written
+from .common import PART_ROWS, map_texts, removed, spread, table, written
 from .toxicity import bounded_sample
 
 VOCABULARY, ROWS, DIM, NONZERO, REACH = 8192, 8192, 32, 4, 2
@@ -232,7 +232,7 @@ def score_quality(documents: DataFrame, model: QualityModel) -> DataFrame:
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
     """Score all documents; see the contract's columns.  A null id counts as the empty text in the fold."""
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents"))
     scored = score_quality(documents, fitted(documents, table(spark, sf_dir, "labels")))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
     return scored.select("doc_id", held.alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= 0.5).cast("int").alias("predicted"))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, removed, small_side, table, written
+from .common import map_texts, removed, small_side, spread, table, written
 from .shingles import mix64, words
 
 LENGTH, GRAM = 400, 32
@@ -454,4 +454,4 @@ def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     n_shared_words follows them: words in passages of 50 words that another
     document has too, of which short ones may have fewer than 400 bytes.
     """
-    return remove_repeats(table(spark, sf_dir, "documents"), with_words=True)
+    return remove_repeats(spread(table(spark, sf_dir, "documents")), with_words=True)

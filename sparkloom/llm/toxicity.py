@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import map_texts, spread, table
 
 _WORD = re.compile(r"[^\W_]+")
 # Scripts without spaces between words.
@@ -459,7 +459,7 @@ def fitted(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELS) ->
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     """Score all documents; see the contract's columns.  A null id counts as the empty text in the fold."""
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents"))
     scored = score_toxicity(documents, fitted(documents, table(spark, sf_dir, "labels")))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
     return scored.select("doc_id", held.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))

@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 from sparkloom.llm import bpe, decontamination, media, pii, queries
-from sparkloom.llm.common import table
+from sparkloom.llm.common import spread, table
 
 QUERIES, SQL = queries.queries(), queries.oracle_sql()
 
@@ -156,3 +156,12 @@ def test_spans_text_is_parsed_back(spark, small_dir):
     docs = {r.doc_id: r.text for r in table(spark, small_dir, "documents").collect()}
     found = [s for r in pii.find_pii(table(spark, small_dir, "documents"), pii.train([])).collect() for s in r.found if re.search("[0-9@]", docs[r.doc_id][s.start : s.end])]
     assert len(found) == 3
+
+
+def test_small_scans_are_dealt_over_the_cores(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spread(spark.read.parquet(f"{tmp_path}/one"))
+    assert one.rdd.getNumPartitions() == cores and sorted(r.id for r in one.collect()) == [*range(100)]
+    many = spark.range(0, 100, 1, cores + 1)
+    assert spread(many) is many
