@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import plans
 from ..operators.frame import broadcast_within, join_typed
 from .common import Registry, read
 
@@ -158,3 +159,27 @@ def stat_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Covariance, and an approximate median within its error of the exact one."""
     df = read(spark, sf_dir, "lineitem")
     return df.agg(F.round(F.covar_samp("l_quantity", "l_extendedprice"), 3).alias("cov"), (F.abs(F.approx_percentile("l_quantity", 0.5) - F.median("l_quantity")) <= 1).alias("near"))
+
+
+@query("SELECT o_orderpriority AS priority, o_orderstatus AS status, count(*) AS n, grouping_id(o_orderpriority, o_orderstatus)::BIGINT AS level FROM orders WHERE o_orderkey % 2 = 0 GROUP BY CUBE (o_orderpriority, o_orderstatus)")
+def plan_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query kept as data: filter, cube and names, one DataFrame call for each step."""
+    steps = [
+        {"op": "filter", "expr": "o_orderkey % 2 = 0"},
+        {"op": "group", "kind": "cube", "by": ["o_orderpriority", "o_orderstatus"], "aggs": {"n": "count(*)", "level": "grouping_id()"}},
+        {"op": "rename", "names": {"o_orderpriority": "priority", "o_orderstatus": "status"}},
+    ]
+    return plans.apply(read(spark, sf_dir, "orders"), steps)
+
+
+@query("SELECT n_name, r_name, n_regionkey * 10 + 1 AS code FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 20")
+def plan_join_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query kept as data with a join and a function registered by name; Python sees batches, not rows."""
+    name = f"coded_{uuid.uuid4().hex[:8]}"
+    spark.udf.register(name, F.pandas_udf(lambda x: x * 10 + 1, "long"))
+    steps = [
+        {"op": "filter", "expr": "n_nationkey < 20"},
+        {"op": "join", "with": "region", "on": "n_regionkey = r_regionkey"},
+        {"op": "select", "exprs": ["n_name", "r_name", f"{name}(n_regionkey) AS code"]},
+    ]
+    return plans.apply(read(spark, sf_dir, "nation"), steps, {"region": read(spark, sf_dir, "region")})
